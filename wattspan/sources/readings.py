@@ -1,25 +1,29 @@
 """The readings table: Parquet, partitioned by site and day."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattspan.schema import DEVICE, ID, METRICS, ORDER, READINGS_SCHEMA, SITE, TS
 
 
-def with_ids(df: DataFrame) -> DataFrame:
-    """Give rows without an id one that does not depend on partitioning.
+def with_ids(df: DataFrame, load: str | None = None) -> DataFrame:
+    """Give rows without an id one of their own, also when the rows are equal.
 
-    Ids only break timestamp ties, so a hash of the row serves; equal rows get
-    equal ids, and their order does not matter because they are equal.
+    The id hashes the load and the row's place in it, so copies of a row and
+    rows of other loads stay apart.
     """
     if ID in df.columns:
         return df
-    return df.withColumn(ID, F.xxhash64(TS, *METRICS))
+    return df.withColumn(ID, F.xxhash64(F.lit(load or uuid.uuid4().hex), F.monotonically_increasing_id()))
 
 
-def append_readings(df: DataFrame, path: str, site_id: str = "home-01", device_id: str = "meter-main") -> None:
+def append_readings(
+    df: DataFrame, path: str, site_id: str = "home-01", device_id: str = "meter-main", load: str | None = None
+) -> None:
     """Append readings under a site and device; an empty batch adds no rows."""
-    rows = with_ids(df).select(
+    rows = with_ids(df, load).select(
         F.col(ID).cast("long").alias(ID),
         TS,
         (F.col(SITE) if SITE in df.columns else F.lit(site_id)).alias(SITE),
