@@ -2,11 +2,15 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattspan.schema import DEVICE, ID, METRICS, ORDER, READINGS_SCHEMA, SITE, TS
 
+# folders of the table: one per load, then site and day, which filters prune
+TABLE_SCHEMA = T.StructType([*READINGS_SCHEMA, T.StructField("load", T.StringType()), T.StructField("day", T.DateType())])
+
 
 def with_ids(df: DataFrame, load: str | None = None) -> DataFrame:
     """Give rows without an id one of their own, also when the rows are equal.
@@ -22,7 +26,12 @@ def with_ids(df: DataFrame, load: str | None = None) -> DataFrame:
 def append_readings(
     df: DataFrame, path: str, site_id: str = "home-01", device_id: str = "meter-main", load: str | None = None
 ) -> None:
-    """Append readings under a site and device; an empty batch adds no rows."""
+    """Append readings under a site and device; an empty batch adds no rows.
+
+    A load is a folder of its own, so repeating it (a retried micro-batch)
+    replaces its rows, while two loads of the same file keep both copies.
+    """
+    load = load or uuid.uuid4().hex
     rows = with_ids(df, load).select(
         F.col(ID).cast("long").alias(ID),
         TS,
@@ -32,14 +41,18 @@ def append_readings(
         F.current_timestamp().alias("ingested_at"),
         F.to_date(TS).alias("day"),
     )
-    # rows of one site-day go to a few files: enough tasks for a hot day, no file per task and day
-    spread = rows.repartition(SITE, "day", F.pmod(F.hour(TS), F.lit(4)))
-    spread.write.mode("append").partitionBy(SITE, "day").parquet(path)
+    # a site-day goes to a few files: several tasks for a hot day, no file per task and day
+    spread = rows.repartition(SITE, "day", F.hour(TS))
+    spread.write.mode("overwrite").partitionBy(SITE, "day").parquet(f"{path}/load={load}")
+
+
+def init_readings(spark: SparkSession, path: str) -> None:
+    """Create the table if it does not exist; an existing one is left as it is."""
+    spark.createDataFrame([], TABLE_SCHEMA).write.mode("ignore").partitionBy("load", SITE, "day").parquet(path)
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
-    schema = READINGS_SCHEMA.add("day", "date") if "day" not in READINGS_SCHEMA.names else READINGS_SCHEMA
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(TABLE_SCHEMA).parquet(path)
 
 
 def scan_site(df: DataFrame, site_id: str = "home-01", ordered: bool = False) -> DataFrame:
@@ -61,8 +74,9 @@ def in_range(df: DataFrame, start, end, half_open: bool = False) -> DataFrame:
 
 
 def _ntz(moment):
-    if hasattr(moment, "isoformat"):
-        moment = moment.isoformat(" ")
-    return F.lit(moment).cast("timestamp_ntz") if isinstance(moment, str) else moment
+    if isinstance(moment, Column):
+        return moment
+    text = moment if isinstance(moment, str) else moment.isoformat(" ")
+    return F.lit(text).cast("timestamp_ntz")
 
 
