@@ -128,7 +128,7 @@ judged AS (SELECT *, CASE WHEN len(f) <> 9 THEN 'invalid' WHEN list_contains(f,
   WHEN t IS NULL THEN concat('Invalid date/time: ', concat_ws(' ', f[1], f[2])) END AS reason FROM typed),
 parsed AS (SELECT id, value, status, reason, CASE WHEN status = 'ok' THEN t END AS timestamp,
   {', '.join(f"CASE WHEN status = 'ok' THEN {n} END AS {m}" for n, m in zip(_NUM, RAW_METRICS))} FROM judged),
-validated AS (SELECT *, list_filter([{', '.join(_WARN)}], x -> x IS NOT NULL) AS warning_list FROM parsed)"""
+validated AS (SELECT *, list_filter([{', '.join(_WARN)}], lambda x: x IS NOT NULL) AS warning_list FROM parsed)"""
 CTE_RAW = f"{CTE}, {RAW}"
 CTE_PARSED = f"{CTE_RAW}, {PARSED}"
 COUNTERS = """SELECT count(*) AS total_lines, count(*) FILTER (status = 'ok') AS inserted,
@@ -256,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
     out["src_scan"] = steady("SELECT * FROM readings WHERE site_id = 'home-01'", ["timestamp"], METRICS)
     out["src_json"] = f"""WITH {CTE}, {MESSAGES} SELECT id, {_J('site_id')} AS site_id, {_J('device_id')} AS device_id,
  CAST({_J('metrics.voltage_v')} AS DOUBLE) AS voltage_v,
- array_to_string(list_filter([{', '.join(_RULES)}], x -> x IS NOT NULL), '|') AS violations FROM messages"""
+ array_to_string(list_filter([{', '.join(_RULES)}], lambda x: x IS NOT NULL), '|') AS violations FROM messages"""
     out["src_synth"] = steady(generated(DAY_SEQ, 7, DAYS, "site_id, timestamp"), ["site_id", "timestamp", "injected"], METRICS)
     out["snk_readings"] = everything("SELECT * FROM readings")
 

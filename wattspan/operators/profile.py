@@ -2,6 +2,8 @@
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,45 +175,99 @@ def histogram(df: DataFrame, columns=tuple(METRICS), bins: int = 80, keys=(SITE,
     )
 
 
-def pair_correlations(df: DataFrame, columns, keys=(SITE,)) -> DataFrame:
-    """Pearson correlation of every pair of columns, one row per pair."""
+def correlation_matrix(df: DataFrame, columns=tuple(METRICS), keys=(SITE,)) -> DataFrame:
+    """The full Pearson matrix of a few columns in long form; a constant column has none."""
     pairs = list(combinations(columns, 2))
-    wide = df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"_{i}").alias("correlation"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return wide.select(*keys, F.inline(rows))
 
+    def correlation(a: str, b: str):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
-def correlation_matrix(df: DataFrame, columns=tuple(METRICS), keys=(SITE,)) -> DataFrame:
-    """The full symmetric matrix in long form, from one aggregate per pair."""
-    upper = pair_correlations(df, columns, keys)
-    mirrored = F.array(
-        F.struct(F.col("feature_1").alias("a"), F.col("feature_2").alias("b")),
-        F.struct(F.col("feature_2").alias("a"), F.col("feature_1").alias("b")),
+    wide = df.groupBy(*keys).agg(*[correlation(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    cell = lambda a, b, c: F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), c.alias("correlation"))
+    cells = [cell(c, c, F.lit(1.0)) for c in columns]
+    for i, (a, b) in enumerate(pairs):
+        cells += [cell(a, b, F.col(f"_{i}")), cell(b, a, F.col(f"_{i}"))]
+    return wide.select(*keys, F.inline(F.array(*cells)))
+
+
+def _co_moments(keys, columns):
+    """Per batch and key: size, means and centred products of every pair of columns."""
+    i, j = np.triu_indices(len(columns))
+
+    def moments(batches):
+        for batch in batches:
+            groups = batch.groupby(list(keys), sort=False) if keys else [((), batch)]
+            for key, rows in groups:
+                x = rows[list(columns)].to_numpy(dtype=float)
+                mean = x.mean(axis=0)
+                centred = x - mean
+                products = centred.T @ centred
+                named = dict(zip(keys, key if isinstance(key, tuple) else (key,)))
+                yield pd.DataFrame(
+                    {**named, "i": i, "j": j, "n": float(len(x)), "m_i": mean[i], "m_j": mean[j], "c": products[i, j]}
+                )
+
+    return moments
+
+
+def pair_correlations(df: DataFrame, columns, keys=(SITE,)) -> DataFrame:
+    """Pearson correlation of every pair of many columns without nulls, one row per pair.
+
+    Hundreds of pair aggregates are too many for one plan, so each Arrow batch
+    is reduced to the centred products of its columns, and these small rows are
+    summed by (key, pair) with partial aggregation. Constant columns have no row.
+    """
+    columns, keys = list(columns), list(keys)
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    schema = T.StructType([f for f in rows.schema if f.name in keys])
+    for name in ("i", "j"):
+        schema = schema.add(name, T.IntegerType())
+    for name in ("n", "m_i", "m_j", "c"):
+        schema = schema.add(name, T.DoubleType())
+    parts = rows.mapInPandas(_co_moments(keys, columns), schema)
+    sums = parts.groupBy(*keys, "i", "j").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("m_i")).alias("s_i"),
+        F.sum(F.col("n") * F.col("m_j")).alias("s_j"),
+        F.sum(F.col("c") + F.col("n") * F.col("m_i") * F.col("m_j")).alias("s_ij"),
+    )
+    products = sums.select(*keys, "i", "j", (F.col("s_ij") - F.col("s_i") * F.col("s_j") / F.col("n")).alias("cov"))
+    # what is left of a constant column is rounding
+    size = F.greatest(F.abs("s_ij"), F.lit(1e-300))
+    own = sums.where(F.col("i") == F.col("j"))
+    spread = F.col("s_ij") - F.col("s_i") * F.col("s_i") / F.col("n")
+    own = own.where(spread > 1e-12 * size).select(*keys, "i", spread.alias("var"))
+    first = own.withColumnRenamed("var", "var_i")
+    second = own.select(*keys, F.col("i").alias("j"), F.col("var").alias("var_j"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return (
+        products.where(F.col("i") < F.col("j"))
+        .join(first, [*keys, "i"])
+        .join(second, [*keys, "j"])
+        .select(
+            *keys,
+            F.get(names, F.col("i")).alias("feature_1"),
+            F.get(names, F.col("j")).alias("feature_2"),
+            (F.col("cov") / F.sqrt(F.col("var_i") * F.col("var_j"))).alias("correlation"),
+        )
     )
-    both = upper.withColumn("_p", F.explode(mirrored))
-    sides = both.select(*keys, F.col("_p.a").alias("feature_1"), F.col("_p.b").alias("feature_2"), "correlation")
-    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("feature_1")
-    same = upper.select(*keys).distinct().select(*keys, names)
-    return sides.unionByName(same.withColumns({"feature_2": F.col("feature_1"), "correlation": F.lit(1.0)}))
 
 
 def strongest_correlations(df: DataFrame, columns, target: str = POWER, n: int = 20) -> DataFrame:
     """The ``n`` columns of one site that correlate most with ``target``, by absolute value."""
-    wide = df.agg(*[F.abs(F.corr(c, target)).alias(c) for c in columns])
-    long = wide.unpivot([], list(columns), "feature", "abs_correlation")
-    known = long.where(F.col("abs_correlation").isNotNull() & ~F.isnan("abs_correlation"))
-    return known.orderBy(F.col("abs_correlation").desc(), "feature").limit(n)
+    pairs = pair_correlations(df, columns, ()).where((F.col("feature_1") == target) | (F.col("feature_2") == target))
+    other = F.when(F.col("feature_1") == target, F.col("feature_2")).otherwise(F.col("feature_1"))
+    found = pairs.select(other.alias("feature"), F.abs("correlation").alias("abs_correlation"))
+    itself = df.sparkSession.range(1).select(F.lit(target).alias("feature"), F.lit(1.0).alias("abs_correlation"))
+    return found.unionByName(itself).orderBy(F.col("abs_correlation").desc(), "feature").limit(n)
 
 
 def redundant_pairs(df: DataFrame, columns, limit: float = 0.95, keys=(SITE,)) -> DataFrame:
     """Pairs of columns whose absolute correlation is above ``limit``."""
     pairs = pair_correlations(df, columns, keys).withColumn("correlation", F.abs("correlation"))
-    return pairs.where(~F.isnan("correlation") & (F.col("correlation") > limit))
+    return pairs.where(F.col("correlation") > limit)
 
 
 def energy_shares(df: DataFrame, keys=(SITE,)) -> DataFrame:

@@ -54,6 +54,8 @@ def rolling_steps(windows) -> list[tuple[int, list[int]]]:
         pieces = _cover(width, known)
         while len(pieces) > MAX_PIECES:
             helper = max(s for s in known if s <= width) * HELPER_GROWTH
+            if helper > width:
+                break
             steps.append((helper, _cover(helper, known)))
             known.append(helper)
             pieces = _cover(width, known)
