@@ -75,14 +75,16 @@ def test_lags_do_not_depend_on_chunks(readings, chunk_rows):
 
 
 def test_matrix_columns_and_dropped_rows(readings):
-    full = features.build_feature_matrix(readings, drop_na=False)
+    full = features.build_feature_matrix(readings, drop_na=False).toPandas()
     matrix = features.build_feature_matrix(readings)
     names = features.feature_names()
     assert len(names) == 42 and features.get_numeric_features(matrix) == names
-    slow = features.drop_incomplete(full)
-    assert matrix.exceptAll(slow).count() == 0 and matrix.count() == slow.count() == 141
-    row = full.agg(F.min("metered_ratio"), F.max("metered_ratio"), F.max(F.expr("sub_1_share + sub_2_share + sub_3_share"))).first()
-    assert row[0] >= 0 and row[1] <= 1.5 and row[2] < 1 + 1e-9
+    kept = matrix.toPandas().sort_values("id").reset_index(drop=True)
+    slow = full.dropna().sort_values("id").reset_index(drop=True)
+    assert len(kept) == 141
+    pd.testing.assert_frame_equal(kept, slow)
+    assert full["metered_ratio"].min() >= 0 and full["metered_ratio"].max() <= 1.5
+    assert (full["sub_1_share"] + full["sub_2_share"] + full["sub_3_share"]).max() < 1 + 1e-9
     with pytest.raises(ValueError, match="hour"):
         features.require_features(matrix.drop("hour"), names)
 
