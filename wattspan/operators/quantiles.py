@@ -16,7 +16,8 @@ def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """Add the columns of a per-key table; with no keys ``stats`` is a single row."""
     if keys:
         return df.join(stats, list(keys))
-    return df.withColumns({c: stats.select(c).scalar() for c in stats.columns})
+    row = stats.select(F.struct(*stats.columns)).scalar()
+    return df.withColumns({c: row.getField(c) for c in stats.columns})
 
 
 def _ranks(probabilities, total: Column) -> list[tuple[Column, Column, Column]]:
