@@ -251,7 +251,7 @@ def _if_score(spark, sf_dir):
 
 
 def _compared(spark, sf_dir):
-    """Both models on the whole tables; the forest is not trained twice for it."""
+    """Both models trained on one site, side by side."""
     path = scratch_path(spark, "compared")
     return training.compare_models(training.train_models(fixtures.readings(spark, sf_dir), path, compare=True))
 
@@ -259,7 +259,7 @@ def _compared(spark, sf_dir):
 def queries():
     q = {}
 
-    def on_readings(name, build, exact=True):
+    def on_readings(name, build):
         q[name] = lambda spark, sf_dir: steady(build(fixtures.readings(spark, sf_dir)))
 
     def on_lines(name, build):
