@@ -25,3 +25,31 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(lost, 0)::BIGINT AS n
        sha256(coalesce(body, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+SQL["op8_minhash_dedup"] = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+    FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), link AS (
+    SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+    WHERE 100 * c >= 85 * (p.n + q.n - c)
+), edge AS (
+    SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+    SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a
+), low AS (
+    SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id,
+       coalesce(c, doc_id) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = doc_id
+"""

@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.textarrays import mix, to_bytes, windows, word_hashes
+from wattspan.llm.textarrays import longs_as_text, mix, to_bytes, windows, word_hashes
 
-SENT = "__chunk long, __bucket long, __index binary, __probe binary, __twice binary"
-FOUND = "__chunk long, __bucket long, __hit binary"
+SENT = "__chunk int, __bucket long, __index binary, __probe binary, __twice binary"
+FOUND = "__chunk int, __bucket long, __hit binary"
 
 
 def _valid(first: np.ndarray, width: int) -> np.ndarray:
@@ -158,8 +158,9 @@ def remove_repeats(
         return _send(int(rows["__chunk"].iloc[0]), _place(windows(hashes, window, 5)[at], buckets), values, np.ones(len(at), bool))
 
     shape = docs.drop("__chunk").schema
+    docs = longs_as_text(docs.withColumn("__chunk", F.col("__chunk").cast("int")))
     others = [c for c in shape.names if with_text or c != text]
-    names = ", ".join(f"`{c}` {shape[c].dataType.simpleString()}" for c in others)
+    names = ", ".join(f"`{c}` {t}" for c, t in docs.select(others).dtypes)
     result = f"{names}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
     def cut(rows: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
@@ -191,4 +192,5 @@ def remove_repeats(
     anchored = docs.groupBy("__chunk").applyInPandas(probes, SENT).groupBy("__bucket").applyInPandas(_match(np.uint32), FOUND)
     extended = dealt.cogroup(anchored.groupBy("__chunk")).applyInPandas(extend, SENT)
     repeated = extended.groupBy("__bucket").applyInPandas(_match(np.uint64), FOUND)
-    return dealt.cogroup(repeated.groupBy("__chunk")).applyInPandas(cut, result)
+    done = dealt.cogroup(repeated.groupBy("__chunk")).applyInPandas(cut, result)
+    return done.withColumns({c: F.col(f"`{c}`").cast(shape[c].dataType) for c in others if shape[c].dataType.simpleString() == "bigint"})

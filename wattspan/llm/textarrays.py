@@ -8,6 +8,8 @@ executor and in every run.
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -97,3 +99,8 @@ def to_bytes(texts, fold: bool = False) -> list[bytes]:
     """UTF-8 of each text (null: empty), with A-Z lower-cased if ``fold``."""
     made = [t.encode() if isinstance(t, str) else b"" for t in texts]
     return [t.lower() for t in made] if fold else made
+
+
+def longs_as_text(df: DataFrame) -> DataFrame:
+    """64-bit columns as text: pandas holds a long column with nulls as doubles, which lose digits."""
+    return df.select([F.col(f"`{c}`").cast("string").alias(c) if t == "bigint" else F.col(f"`{c}`") for c, t in df.dtypes])
