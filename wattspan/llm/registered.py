@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from wattspan.llm import oracle
 from wattspan.llm.neardup import near_duplicates
 from wattspan.llm.repeats import remove_repeats
+from wattspan.llm.topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, window=35, with_text=False)
