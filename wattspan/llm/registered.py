@@ -3,9 +3,11 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wattspan.llm import oracle
 from wattspan.llm.neardup import near_duplicates
+from wattspan.llm.packing import pack, token_pieces
 from wattspan.llm.repeats import remove_repeats
 from wattspan.llm.topk import top_k
 
@@ -14,11 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op2_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    packed = pack(pieces).withColumnRenamed("crc", "ids_crc32")
+    return packed.withColumn("length", F.col("length").cast("long"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, window=35, with_text=False)
