@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattspan.llm import oracle
+from wattspan.llm.bpe import round_trip_digests
 from wattspan.llm.neardup import near_duplicates
 from wattspan.llm.packing import pack, token_pieces
 from wattspan.llm.repeats import remove_repeats
@@ -39,6 +40,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, window=35, with_text=False)
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
