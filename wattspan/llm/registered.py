@@ -2,11 +2,12 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattspan.llm import oracle
 from wattspan.llm.bpe import round_trip_digests
+from wattspan.llm.langid import identify_languages
 from wattspan.llm.neardup import near_duplicates
 from wattspan.llm.packing import pack, token_pieces
 from wattspan.llm.repeats import remove_repeats
@@ -24,6 +25,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(divisor: int, value: int, key: str = "doc_id") -> Column:
+    """Whether crc32(key as text) has this remainder; a null key counts as having it, so it is never learned from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % divisor == value, F.lit(True))
+
+
 def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -48,6 +54,12 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, docs.where(~remainder(3, 1)))
+    return found.select("doc_id", remainder(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
