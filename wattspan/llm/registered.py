@@ -10,6 +10,7 @@ from wattspan.llm.bpe import round_trip_digests
 from wattspan.llm.langid import identify_languages
 from wattspan.llm.neardup import near_duplicates
 from wattspan.llm.packing import pack, token_pieces
+from wattspan.llm.quality import grade_documents, graded
 from wattspan.llm.repeats import remove_repeats
 from wattspan.llm.topk import top_k
 
@@ -41,6 +42,14 @@ def op2_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("length", F.col("length").cast("long"))
 
 
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = graded(docs, table(spark, sf_dir, "labels")).where(~remainder(3, 1))
+    found = grade_documents(docs, rated, grades=3).withColumn("p_good", F.get("tail", F.lit(0)))
+    selected = (F.col("p_good") >= 0.5).alias("selected")
+    return found.select("doc_id", remainder(3, 1).alias("held_out"), "expected_grade", "p_good", selected)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, window=35, with_text=False)

@@ -63,12 +63,12 @@ class Words:
         return mix(np.add.reduceat(values, self.starts - begin) + (self.ends - self.starts).astype(np.uint64))
 
 
-def parts(texts: Sequence[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Consecutive index ranges of about ``size`` bytes (one text at least)."""
+def parts(texts: Sequence[bytes], size: int = 1 << 20, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Consecutive index ranges of about ``size`` bytes and at most ``most`` texts (one at least)."""
     begin = total = 0
     for i, text in enumerate(texts):
         total += len(text) + 1
-        if total >= size:
+        if total >= size or i + 1 - begin == most:
             yield begin, i + 1
             begin, total = i + 1, 0
     if begin < len(texts):
