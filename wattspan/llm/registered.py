@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattspan.llm import oracle
 from wattspan.llm.bpe import round_trip_digests
+from wattspan.llm.fingerprint import edit_fingerprints
 from wattspan.llm.langid import identify_languages
 from wattspan.llm.neardup import near_duplicates
 from wattspan.llm.packing import pack, token_pieces
@@ -55,6 +56,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, window=35, with_text=False)
 
 
+def op5_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
