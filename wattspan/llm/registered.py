@@ -9,6 +9,7 @@ from wattspan.llm import oracle
 from wattspan.llm.bpe import round_trip_digests
 from wattspan.llm.fingerprint import edit_fingerprints
 from wattspan.llm.langid import identify_languages
+from wattspan.llm.mixing import mixing_scores
 from wattspan.llm.neardup import near_duplicates
 from wattspan.llm.packing import pack, token_pieces
 from wattspan.llm.quality import grade_documents, graded
@@ -74,6 +75,12 @@ def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", remainder(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("train", ~remainder(7, 2))
+    found = mixing_scores(docs, "train")
+    return found.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
