@@ -15,6 +15,7 @@ from wattspan.llm.packing import pack, token_pieces
 from wattspan.llm.quality import grade_documents, graded
 from wattspan.llm.repeats import remove_repeats
 from wattspan.llm.topk import top_k
+from wattspan.llm.toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,14 @@ def op5_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labelled = docs.select("doc_id", "text").join(labels, "doc_id").where(~remainder(3, 1))
+    found = score_toxicity(docs, labelled)
+    return found.select("doc_id", remainder(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
