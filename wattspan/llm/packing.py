@@ -24,11 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.durable import durable
+from wattspan.llm.bpe import byte_letters
 from wattspan.llm.textarrays import longs_as_text, parts, to_bytes
 
 PIECE = "start long, length int, crc long, cuts array<long>, doc_tokens long"
-#: a comma or full stop that ends a word is a token of its own in any context
-TAIL = re.compile(rb"(?<=[a-z])([,.])(?=[ \t-\r]|$)")
+#: a letter and an ASCII sign behind it (but the apostrophe) are never in one token
+BORDER = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([!-&(-/:-@\[-`{-~])")
+#: runs of lower-case letters that normalising leaves as they are, or of signs: one piece each
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+")
+LETTERS = dict(enumerate(byte_letters()))
 _cache: dict[str, dict[bytes, bytes]] = {}
 _libraries: dict[str, object] = {}
 
@@ -38,6 +42,7 @@ def encode_all(texts: list[bytes], tokenizer: str, held: int = 1_000_000) -> lis
 
     For tokenizers that lower-case and drop white space no token spans white space, so a
     text's ids are those of its words; a worker keeps up to ``held`` words it has seen.
+    Words that are one piece as they stand go straight to the tokenizer's model.
     """
     from tokenizers import Tokenizer
 
@@ -47,12 +52,16 @@ def encode_all(texts: list[bytes], tokenizer: str, held: int = 1_000_000) -> lis
         _libraries[tokenizer].no_padding()
         _cache[tokenizer] = {}
     library, known = _libraries[tokenizer], _cache[tokenizer]
-    split = [TAIL.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
+    split = [t.split() if b"<|" in t else BORDER.sub(rb"\1 \2", t.lower()).split() for t in texts]
     wanted = set().union(*split).difference(known)
     if len(known) + len(wanted) > held:
         known.clear()
         wanted = set().union(*split)
-    wanted = list(wanted)
+    plain = {w for w in wanted if PLAIN.fullmatch(w)}
+    for word in plain:
+        ids = [t.id for t in library.model.tokenize(word.decode("latin-1").translate(LETTERS))]
+        known[word] = np.array(ids, "<u4").tobytes()
+    wanted = list(wanted - plain)
     found = library.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False)
     for word, one in zip(wanted, found, strict=True):
         known[word] = np.array(one.ids, "<u4").tobytes()
