@@ -1,6 +1,7 @@
 """Run registered queries beside their SQL: python -m checks.compare [sf] [name ...]"""
 
 import sys
+import tempfile
 import time
 import traceback
 
@@ -46,6 +47,7 @@ def main() -> int:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="wattspan-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -1,5 +1,7 @@
 """Registered queries: library calls on the given tables, quantised for comparison."""
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,7 +65,10 @@ def reading_folder(spark, sf_dir):
     def make():
         path = scratch_path(spark, "arrivals")
         rows = fixtures.readings(spark, sf_dir).withColumn("ingested_at", F.current_timestamp())
-        for low, high in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01")):
+        span = rows.agg(F.min(TS).alias("a"), F.max(TS).alias("b")).first()
+        third = (span["b"] - span["a"]) / 3
+        cuts = [span["a"], span["a"] + third, span["a"] + 2 * third, span["b"] + timedelta(microseconds=1)]
+        for low, high in zip(cuts, cuts[1:]):
             in_range(rows, low, high, half_open=True).coalesce(1).write.mode("append").parquet(path)
         return path
 

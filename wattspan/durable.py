@@ -6,25 +6,18 @@ workers; both results are written once as Parquet to the shared folder named by
 not a recomputation, and later scans stay columnar.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a temporary one only for local masters."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/") + "/wattspan"
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    """The shared scratch folder: that of ``spark.checkpoint.dir`` or, where it is unset, of
+    ``SparkContext.setCheckpointDir``. The library never picks a folder by itself."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="wattspan-")
-    return _local_dirs[context.applicationId]
+    return named.rstrip("/") + "/wattspan"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 TREES = 200
 SAMPLE = 256
+# candidates per wanted row: a tree of 256 is short of rows with a probability below 1e-80
 SPARE = 3.0
 EULER_GAMMA = 0.5772156649
 
@@ -32,26 +33,28 @@ def average_path(n) -> np.ndarray:
 def tree_samples(vectors: DataFrame, n: int, seed: int = 42, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """Rows of (tree, id, features): ``min(sample, n)`` distinct rows for every tree.
 
-    With enough rows each one serves a single tree, so the work does not grow
-    with the number of trees. Rows are thinned by hash before the exact cut, so
-    a tree's candidates stay near three times its sample at any size of data.
+    Every row draws a 64-bit number for every tree and is a candidate where it
+    falls under the share that leaves a tree near three times its sample; the
+    smallest draws are taken. The rule and a tree's work are the same at every size of
+    data. A tree that is short all the same stops the fit.
     """
     size = min(sample, n)
-    if n >= 1.5 * trees * sample:
-        owned = vectors.withColumn("tree", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(trees)).cast("int"))
-        keep = min(1.0, SPARE * size * trees / n)
-    else:
-        owned = vectors.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        keep = min(1.0, SPARE * size / n + 0.01)
-    draw = F.xxhash64("id", "tree", F.lit(seed))
-    million = 1_000_000
-    thinned = owned.withColumn("_draw", draw).where(F.pmod("_draw", F.lit(million)) < int(math.ceil(keep * million)))
+    keep = min(1.0, SPARE * size / max(n, 1))
+    below = -(2**63) + min(int(keep * 2.0**64), 2**64 - 1)
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.struct(t.cast("int").alias("tree"), F.xxhash64("id", t, F.lit(seed)).alias("draw")),
+    )
+    drawn = F.filter(draws, lambda d: d["draw"] <= F.lit(below))
+    thinned = vectors.select("*", F.explode(drawn).alias("_d")).select(*vectors.columns, "_d.tree", F.col("_d.draw").alias("_draw"))
     first = Window.partitionBy("tree").orderBy("_draw", "id")
     return thinned.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= size).drop("_at", "_draw")
 
 
-def _grow(seed: int, depth_limit: int):
+def _grow(seed: int, depth_limit: int, size: int):
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) != size:
+            raise ValueError(f"tree {rows['tree'].iloc[0]} has {len(rows)} of {size} rows")
         rows = rows.sort_values("id", kind="stable")
         tree = int(rows["tree"].iloc[0])
         x = np.stack(rows["features"].to_numpy())
@@ -86,7 +89,7 @@ def fit_forest(vectors: DataFrame, n: int, seed: int = 42, trees: int = TREES, s
     """Node table of the forest; ``vectors`` has ``id`` and ``features`` and ``n`` rows."""
     depth_limit = max(1, math.ceil(math.log2(max(min(sample, n), 2))))
     samples = tree_samples(vectors.select("id", "features"), n, seed, trees, sample)
-    return samples.groupBy("tree").applyInPandas(_grow(seed, depth_limit), NODE_SCHEMA)
+    return samples.groupBy("tree").applyInPandas(_grow(seed, depth_limit, min(sample, n)), NODE_SCHEMA)
 
 
 def _flatten(nodes: pd.DataFrame):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattspan.durable import durable
 from wattspan.functions.calendar import CYCLICAL, calendar_parts, cyclical
 from wattspan.functions.clock import DAY_US, micros
 from wattspan.functions.energy import half_up, unmetered_wh
@@ -192,22 +193,40 @@ def correlation_matrix(df: DataFrame, columns=tuple(METRICS), keys=(SITE,)) -> D
     return wide.select(*keys, F.inline(F.array(*cells)))
 
 
+HELD_KEYS = 256
+
+
 def _co_moments(keys, columns):
-    """Per batch and key: size, means and centred products of every pair of columns."""
+    """Per task and key: size, means and centred products of every pair of columns.
+
+    A task holds the sums of up to HELD_KEYS keys before it passes them on."""
     i, j = np.triu_indices(len(columns))
 
+    def emit(held):
+        for key, (n, mean, products) in held.items():
+            yield pd.DataFrame({**dict(zip(keys, key)), "i": i, "j": j, "n": n, "m_i": mean[i], "m_j": mean[j], "c": products[i, j]})
+
     def moments(batches):
+        held = {}
         for batch in batches:
             groups = batch.groupby(list(keys), sort=False) if keys else [((), batch)]
             for key, rows in groups:
+                key = key if isinstance(key, tuple) else (key,)
                 x = rows[list(columns)].to_numpy(dtype=float)
-                mean = x.mean(axis=0)
+                # constant columns get no rounding of their mean as spread
+                mean = np.where(x.min(axis=0) == x.max(axis=0), x[0], x.mean(axis=0))
                 centred = x - mean
-                products = centred.T @ centred
-                named = dict(zip(keys, key if isinstance(key, tuple) else (key,)))
-                yield pd.DataFrame(
-                    {**named, "i": i, "j": j, "n": float(len(x)), "m_i": mean[i], "m_j": mean[j], "c": products[i, j]}
-                )
+                n, products = float(len(x)), centred.T @ centred
+                if key in held:
+                    before, far, old = held[key]
+                    step = mean - far
+                    products = old + products + np.outer(step, step) * (before * n / (before + n))
+                    mean, n = np.where(step == 0, far, far + step * (n / (before + n))), before + n
+                held[key] = (n, mean, products)
+            if len(held) > HELD_KEYS:
+                yield from emit(held)
+                held = {}
+        yield from emit(held)
 
     return moments
 
@@ -217,7 +236,8 @@ def pair_correlations(df: DataFrame, columns, keys=(SITE,)) -> DataFrame:
 
     Hundreds of pair aggregates are too many for one plan, so each Arrow batch
     is reduced to the centred products of its columns, and these small rows are
-    summed by (key, pair) with partial aggregation. Constant columns have no row.
+    summed by (key, pair) with partial aggregation, first to the means of all rows
+    and then to the products around them. Constant columns have no row.
     """
     columns, keys = list(columns), list(keys)
     rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
@@ -226,19 +246,18 @@ def pair_correlations(df: DataFrame, columns, keys=(SITE,)) -> DataFrame:
         schema = schema.add(name, T.IntegerType())
     for name in ("n", "m_i", "m_j", "c"):
         schema = schema.add(name, T.DoubleType())
-    parts = rows.mapInPandas(_co_moments(keys, columns), schema)
-    sums = parts.groupBy(*keys, "i", "j").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("m_i")).alias("s_i"),
-        F.sum(F.col("n") * F.col("m_j")).alias("s_j"),
-        F.sum(F.col("c") + F.col("n") * F.col("m_i") * F.col("m_j")).alias("s_ij"),
+    parts = durable(rows.mapInPandas(_co_moments(keys, columns), schema), "moments")
+    # what a batch's means are off the means of all rows is added centred, so nothing cancels
+    on = [*keys, "i", "j"]
+    whole = parts.groupBy(*on).agg(
+        F.sum("n").alias("_n"),
+        (F.sum(F.col("n") * F.col("m_i")) / F.sum("n")).alias("w_i"),
+        (F.sum(F.col("n") * F.col("m_j")) / F.sum("n")).alias("w_j"),
     )
-    products = sums.select(*keys, "i", "j", (F.col("s_ij") - F.col("s_i") * F.col("s_j") / F.col("n")).alias("cov"))
-    # what is left of a constant column is rounding
-    size = F.greatest(F.abs("s_ij"), F.lit(1e-300))
-    own = sums.where(F.col("i") == F.col("j"))
-    spread = F.col("s_ij") - F.col("s_i") * F.col("s_i") / F.col("n")
-    own = own.where(spread > 1e-12 * size).select(*keys, "i", spread.alias("var"))
+    off = F.col("n") * (F.col("m_i") - F.col("w_i")) * (F.col("m_j") - F.col("w_j"))
+    merged = parts.join(whole, on) if keys else parts.join(whole, ["i", "j"])
+    products = merged.groupBy(*on).agg(F.sum(F.col("c") + off).alias("cov"))
+    own = products.where((F.col("i") == F.col("j")) & (F.col("cov") > 0)).select(*keys, "i", F.col("cov").alias("var"))
     first = own.withColumnRenamed("var", "var_i")
     second = own.select(*keys, F.col("i").alias("j"), F.col("var").alias("var_j"))
     names = F.array(*[F.lit(c) for c in columns])
