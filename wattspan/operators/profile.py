@@ -249,13 +249,14 @@ def pair_correlations(df: DataFrame, columns, keys=(SITE,)) -> DataFrame:
     parts = durable(rows.mapInPandas(_co_moments(keys, columns), schema), "moments")
     # what a batch's means are off the means of all rows is added centred, so nothing cancels
     on = [*keys, "i", "j"]
-    whole = parts.groupBy(*on).agg(
-        F.sum("n").alias("_n"),
-        (F.sum(F.col("n") * F.col("m_i")) / F.sum("n")).alias("w_i"),
-        (F.sum(F.col("n") * F.col("m_j")) / F.sum("n")).alias("w_j"),
-    )
+
+    def mean(m: str):
+        # exact where all batches agree, so that a constant column has no spread at all
+        return F.when(F.min(m) == F.max(m), F.min(m)).otherwise(F.sum(F.col("n") * F.col(m)) / F.sum("n"))
+
+    whole = parts.groupBy(*on).agg(mean("m_i").alias("w_i"), mean("m_j").alias("w_j"))
     off = F.col("n") * (F.col("m_i") - F.col("w_i")) * (F.col("m_j") - F.col("w_j"))
-    merged = parts.join(whole, on) if keys else parts.join(whole, ["i", "j"])
+    merged = parts.join(whole, on)
     products = merged.groupBy(*on).agg(F.sum(F.col("c") + off).alias("cov"))
     own = products.where((F.col("i") == F.col("j")) & (F.col("cov") > 0)).select(*keys, "i", F.col("cov").alias("var"))
     first = own.withColumnRenamed("var", "var_i")
