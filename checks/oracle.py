@@ -6,9 +6,22 @@ exact ties, common among means of values with three decimals, do not flip.
 """
 
 from wattspan.functions.energy import WEEKDAY_LOAD, WEEKEND_LOAD
-from wattspan.schema import BOUNDS, METRICS, RAW_METRICS
-from wattspan.sources.fixtures import READINGS_SQL
 
+METRICS = [
+    "global_active_power_kw", "global_reactive_power_kw", "voltage_v", "global_intensity_a",
+    "sub_metering_1_wh", "sub_metering_2_wh", "sub_metering_3_wh",
+]
+READINGS_SQL = """
+SELECT id, timestamp, site_id, 'meter-main' AS device_id, p AS global_active_power_kw,
+  floor(p * 100 + 0.5) / 1000 AS global_reactive_power_kw, v AS voltage_v, floor(p * 10000 / v + 0.5) / 10 AS global_intensity_a,
+  CASE WHEN id % 11 = 0 THEN 0.0 ELSE floor(p * (id % 5) * 10 + 0.5) / 10 END AS sub_metering_1_wh,
+  CASE WHEN id % 11 = 0 THEN 0.0 ELSE floor(p * (id % 3) * 10 + 0.5) / 10 END AS sub_metering_2_wh,
+  CASE WHEN id % 11 = 0 THEN 0.0 ELSE floor(p * (id % 7) * 10 + 0.5) / 10 END AS sub_metering_3_wh
+FROM (SELECT event_id AS id, ts AS timestamp, CASE WHEN user_id % 10 < 8 THEN 'home-01' ELSE 'home-synth' END AS site_id,
+        CASE WHEN event_id % 131 = 0 THEN CAST(0 AS DOUBLE) ELSE floor(value * 20 + 0.5) / 1000 END AS p,
+        CAST(230 AS DOUBLE) + ((event_id * 7919) % 2001 - 1000) / CAST(100 AS DOUBLE) AS v
+      FROM {events}) e
+"""
 POWER = METRICS[0]
 VOLT = METRICS[2]
 SCALE, SHIFT = 1e6, 0.31415926
@@ -109,23 +122,34 @@ CTE_MATRIX = f"{CTE_FULL}, {MATRIX}"
 INT_FEATURES = list(PARTS)
 DBL_FEATURES = [c for c in FEATURES if c not in INT_FEATURES]
 
+# the checking side's own copy of the limits
+LIMITS_OF = {
+    "global_active_power": (0.0, 15.0), "global_reactive_power": (0.0, 5.0), "voltage": (100.0, 300.0), "global_intensity": (0.0, 80.0),
+    "sub_metering_1": (0.0, 100.0), "sub_metering_2": (0.0, 100.0), "sub_metering_3": (0.0, 100.0),
+}
+RAW_METRICS = list(LIMITS_OF)
+_FIELDS = [
+    f"CASE {'WHEN id % 350 = 11 THEN ' + repr('abc') if k == 2 else ''} WHEN id % 400 = {20 + k} THEN '{LIMITS_OF[RAW_METRICS[k]][0] - 1:.3f}'"
+    f" WHEN id % 400 = {40 + k} THEN '{LIMITS_OF[RAW_METRICS[k]][1] + 1:.3f}' ELSE CAST(CAST({m} AS DECIMAL(9,3)) AS VARCHAR) END"
+    for k, m in enumerate(METRICS)
+]
 RAW = f"""raw_lines AS (SELECT id, CASE WHEN id % 500 = 3 THEN 'bad;line'
   WHEN id % 80 = 0 THEN concat(strftime(timestamp, '%d/%m/%Y;%H:%M:%S'), ';?;?;?;?;?;?;?')
-  ELSE concat_ws(';', strftime(timestamp, '%d/%m/%Y;%H:%M:%S'),
-    CASE WHEN id % 700 = 5 THEN '-1.000' ELSE CAST(CAST({POWER} AS DECIMAL(9,3)) AS VARCHAR) END,
-    {', '.join(f'CAST(CAST({m} AS DECIMAL(9,3)) AS VARCHAR)' for m in METRICS[1:])}) END AS value FROM readings)"""
+  ELSE concat_ws(';', CASE WHEN id % 333 = 7 THEN '31/02/2024' ELSE strftime(timestamp, '%d/%m/%Y') END, strftime(timestamp, '%H:%M:%S'),
+    {', '.join(_FIELDS)}) END AS value FROM readings)"""
 _NUM = [f"TRY_CAST(f[{i + 3}] AS DOUBLE)" for i in range(7)]
 _ALLNUM = " AND ".join(f"{n} IS NOT NULL" for n in _NUM)
 _WARN = [
     f"CASE WHEN {m} < {lo} OR {m} > {hi} THEN concat('{m}=', CAST({m} AS VARCHAR), ' out of bounds [{lo}, {hi}]') END"
-    for m, (lo, hi) in BOUNDS.items()
+    for m, (lo, hi) in LIMITS_OF.items()
 ]
 PARSED = f"""fields AS (SELECT id, value, string_split(trim(value), ';') AS f FROM raw_lines),
 typed AS (SELECT *, try_strptime(concat_ws(' ', f[1], f[2]), '%d/%m/%Y %H:%M:%S') AS t FROM fields),
 judged AS (SELECT *, CASE WHEN len(f) <> 9 THEN 'invalid' WHEN list_contains(f, '?') THEN 'missing'
   WHEN t IS NULL OR NOT ({_ALLNUM}) THEN 'invalid' ELSE 'ok' END AS status,
   CASE WHEN len(f) <> 9 THEN concat('Expected 9 fields, got ', len(f)) WHEN list_contains(f, '?') THEN NULL
-  WHEN t IS NULL THEN concat('Invalid date/time: ', concat_ws(' ', f[1], f[2])) END AS reason FROM typed),
+  WHEN t IS NULL THEN concat('Invalid date/time: ', concat_ws(' ', f[1], f[2]))
+  WHEN NOT ({_ALLNUM}) THEN concat('Non-numeric metric value: ', chr(39), list_filter(f[3:], lambda x: TRY_CAST(x AS DOUBLE) IS NULL)[1], chr(39)) END AS reason FROM typed),
 parsed AS (SELECT id, value, status, reason, CASE WHEN status = 'ok' THEN t END AS timestamp,
   {', '.join(f"CASE WHEN status = 'ok' THEN {n} END AS {m}" for n, m in zip(_NUM, RAW_METRICS))} FROM judged),
 validated AS (SELECT *, list_filter([{', '.join(_WARN)}], lambda x: x IS NOT NULL) AS warning_list FROM parsed)"""
@@ -138,13 +162,13 @@ COUNTER_COLS = ["total_lines", "inserted", "skipped_missing", "skipped_invalid",
 LOADED = f"SELECT timestamp, {', '.join(f'{r} AS {m}' for r, m in zip(RAW_METRICS, METRICS))} FROM validated WHERE status = 'ok'"
 
 MESSAGES = """messages AS (SELECT id, concat(
-  CASE WHEN id % 60 = 5 THEN '{"schema_version":"2.0",' ELSE '{"schema_version":"1.0",' END,
+  '{"schema_version":', CASE WHEN id % 60 = 5 THEN '"2.0"' WHEN id % 60 = 6 THEN '1.0' ELSE '"1.0"' END, ',',
   '"site_id":"', CASE WHEN id % 50 = 9 THEN 'Home 01' ELSE site_id END, '",',
   CASE WHEN id % 40 = 3 THEN '' ELSE '"device_id":"meter-main",' END,
   CASE WHEN id % 110 = 2 THEN '"note":"x",' ELSE '' END,
   '"timestamp":"', CASE WHEN id % 130 = 6 THEN 'yesterday' ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S') END,
   '","metrics":{',
-  CASE WHEN id % 70 = 7 THEN '' ELSE concat('"global_active_power_kw":', CASE WHEN id % 90 = 1 THEN '-1.5' ELSE '1.5' END, ',') END,
+  CASE WHEN id % 70 = 7 THEN '' ELSE concat('"global_active_power_kw":', CASE WHEN id % 90 = 1 THEN '-1.5' WHEN id % 80 = 12 THEN '"1.5"' WHEN id % 80 = 13 THEN 'null' ELSE '1.5' END, ',') END,
   CASE WHEN id % 120 = 4 THEN '"phase":1,' ELSE '' END,
   '"voltage_v":', CAST(CAST(voltage_v AS DECIMAL(9,2)) AS VARCHAR), '}}') AS value FROM readings)"""
 _J = lambda k: f"json_extract_string(value, '$.{k}')"
@@ -152,6 +176,8 @@ _KEYS = ["schema_version", "site_id", "device_id", "timestamp", "metrics"]
 _RULES = [
     *[f"CASE WHEN NOT list_contains(json_keys(value), '{k}') THEN 'missing {k}' END" for k in _KEYS],
     f"CASE WHEN NOT list_contains(json_keys(value, '$.metrics'), '{POWER}') THEN 'missing metrics.{POWER}' END",
+    "CASE WHEN json_type(value, '$.schema_version') <> 'VARCHAR' THEN 'schema_version is not a string' END",
+    f"CASE WHEN json_type(value, '$.metrics.{POWER}') NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN 'metrics.{POWER} is not a number' END",
     f"CASE WHEN {_J('schema_version')} <> '1.0' THEN 'schema_version is not 1.0' END",
     *[f"CASE WHEN NOT regexp_matches({_J(k)}, '^[a-z0-9-]+$') THEN '{k} is not a valid name' END" for k in ("site_id", "device_id")],
     f"CASE WHEN try_strptime({_J('timestamp')}, '%Y-%m-%dT%H:%M:%S') IS NULL THEN 'timestamp is not a date-time' END",
@@ -240,6 +266,20 @@ ENTRIES = """entries AS (SELECT site_id, row_number() OVER (PARTITION BY site_id
  FROM (SELECT r.site_id, CAST(r.timestamp AS DATE) AS day, count(*) AS n, count(*) FILTER (r.global_active_power_kw > 4) AS spikes
    FROM readings r GROUP BY ALL) d)"""
 
+# a forest of three trees over three scaled features, written out
+_X = [f"(({POWER} - 1.0) / 2.0)", f"(({VOLT} - 230.0) / 8.0)", f"(({POWER}_lag_60m - 1.0) / 2.0)"]
+_PATHS = [
+    f"CASE WHEN {_X[0]} <= -0.25 THEN 11.5 WHEN {_X[1]} <= 0.5 THEN 9.0 ELSE 3.25 END",
+    f"CASE WHEN {_X[1]} <= -0.9375 THEN 4.5 WHEN {_X[2]} <= 0.0 THEN 10.25 ELSE 6.0 END",
+    f"CASE WHEN {_X[2]} > -0.25 THEN 7.5 WHEN {_X[0]} <= -0.375 THEN 12.0 ELSE 4.0 END",
+]
+_NORM = "(2 * (ln(255.0::DOUBLE) + 0.5772156649::DOUBLE) - 2 * 255.0::DOUBLE / 256)"
+SCORED = (
+    f"raw AS (SELECT *, -pow(2.0::DOUBLE, -({' + '.join(_PATHS)})::DOUBLE / 3 / {_NORM}) AS raw_score FROM matrix), "
+    "scored AS (SELECT *, raw_score + 0.68::DOUBLE AS anomaly_score, raw_score + 0.68::DOUBLE < 0 AS is_anomaly, "
+    "CASE WHEN raw_score + 0.68::DOUBLE < 0 THEN -1 ELSE 1 END::BIGINT AS prediction FROM raw)"
+)
+
 
 def oracle_sql() -> dict[str, str]:
     every = ", ".join([*ALL, *METRICS])
@@ -270,7 +310,8 @@ def oracle_sql() -> dict[str, str]:
         for name, start in (("24h", "e.b - INTERVAL 1 DAY"), ("7d", "e.b - INTERVAL 7 DAY"), ("30d", "e.b - INTERVAL 30 DAY"), ("all", "e.a")))
     out["flt_quick"] = f"WITH {CTE}, ends AS (SELECT site_id, min(timestamp) AS a, max(timestamp) AS b FROM readings GROUP BY site_id) {presets}"
     out["flt_bounds"] = f"WITH {CTE_PARSED} SELECT id, timestamp, array_to_string(warning_list, '|') AS warnings FROM validated WHERE len(warning_list) > 0"
-    out["flt_input"] = f"WITH {CTE_PARSED} SELECT id, CASE WHEN global_active_power < 0 THEN 'global_active_power_kw must be at least 0' ELSE '' END AS violations FROM validated WHERE status = 'ok'"
+    negative = ", ".join(f"CASE WHEN {raw} < 0 THEN '{m} must be at least 0' END" for raw, m in zip(RAW_METRICS, METRICS) if m != VOLT)
+    out["flt_input"] = f"WITH {CTE_PARSED} SELECT id, array_to_string(list_filter([{negative}], lambda x: x IS NOT NULL), '|') AS violations FROM validated WHERE status = 'ok'"
     out["flt_dropna"] = f"WITH {CTE_MATRIX} SELECT id, site_id, timestamp FROM matrix"
     out["flt_sample"] = everything("SELECT * FROM readings ORDER BY md5(concat_ws(':', id, 42)), id LIMIT (SELECT CAST(round(0.1 * count(*)) AS BIGINT) FROM readings)")
     out["flt_spike"] = steady(f"SELECT r.* FROM readings r JOIN limits l ON r.site_id = l.site_id WHERE {POWER} > p99", ALL, METRICS, f"{CTE}, {LIMITS}")
@@ -325,7 +366,8 @@ def oracle_sql() -> dict[str, str]:
     out["agg_cards"] = steady(f"SELECT site_id, avg({POWER}) AS avg_power, max({POWER}) AS peak_power, count(*) AS readings, avg({VOLT}) AS avg_voltage FROM readings GROUP BY site_id", ["site_id", "readings"], ["avg_power", "peak_power", "avg_voltage"])
     out["agg_describe"] = steady("SELECT site_id, metric, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75 FROM long GROUP BY ALL", ["site_id", "metric", "count"], ["mean", "std", "min", "max", "p25", "p50", "p75"], f"{CTE}, {LONG}")
     out["agg_shape"] = f"WITH {CTE} SELECT site_id, count(*) AS rows, CAST(11 AS BIGINT) AS columns, CAST(7 AS BIGINT) AS numeric_columns, min(timestamp) AS first, max(timestamp) AS last, CAST(floor(date_diff('microsecond', min(timestamp), max(timestamp)) / 86400000000.0::DOUBLE) AS BIGINT) AS days FROM readings GROUP BY site_id"
-    out["agg_nulls"] = f"WITH {CTE}, {LONG} SELECT site_id, metric, count(*) FILTER (value IS NULL) AS nulls, count(*) AS rows, CAST(sum(count(*) FILTER (value IS NULL)) OVER (PARTITION BY site_id) AS BIGINT) AS total_nulls FROM long GROUP BY site_id, metric"
+    gaps = f"whole AS ({READINGS}), readings AS (SELECT * REPLACE (CASE WHEN id % 13 = 0 THEN NULL ELSE sub_metering_2_wh END AS sub_metering_2_wh, CASE WHEN id % 29 = 0 THEN NULL ELSE voltage_v END AS voltage_v) FROM whole)"
+    out["agg_nulls"] = f"WITH {gaps}, {LONG} SELECT site_id, metric, count(*) FILTER (value IS NULL) AS nulls, count(*) AS rows, CAST(sum(count(*) FILTER (value IS NULL)) OVER (PARTITION BY site_id) AS BIGINT) AS total_nulls FROM long GROUP BY site_id, metric"
     engineered = [c for c in FEATURES if c not in METRICS]
     null_long = " UNION ALL ".join(f"SELECT site_id, '{c}' AS metric, count(*) FILTER ({c} IS NULL) AS nulls, count(*) AS n FROM full_matrix GROUP BY site_id" for c in engineered)
     out["agg_nullpct"] = steady(f"SELECT site_id, metric, nulls, {HU('nulls * 100 / n::DOUBLE', 2)} AS pct FROM ({null_long}) x WHERE nulls > 0", ["site_id", "metric", "nulls"], ["pct"], CTE_FULL)
@@ -377,10 +419,63 @@ def oracle_sql() -> dict[str, str]:
     out["mod_info"] = steady("SELECT site_id, arg_max(model_name, seq) AS model_name, arg_max(version, seq) AS version, arg_max(training_date, seq) AS training_date, arg_max(n_training_samples, seq) AS n_training_samples, arg_max(anomaly_rate, seq) AS anomaly_rate, CAST(7 AS BIGINT) AS n_features, count(*) AS total_models_in_registry FROM entries GROUP BY site_id", ["site_id", "model_name", "version", "training_date", "n_training_samples", "n_features", "total_models_in_registry"], ["anomaly_rate"], f"{CTE}, {ENTRIES}")
 
     # streaming
-    out["str_ingest"] = steady(LOADED, ["timestamp"], METRICS, CTE_PARSED)
+    by_site = LOADED.replace("SELECT timestamp", "SELECT site_id, v.timestamp").replace("FROM validated", "FROM validated v JOIN (SELECT id, site_id FROM readings) s USING (id)")
+    out["str_ingest"] = steady(by_site, ["site_id", "timestamp"], METRICS, CTE_PARSED)
     out["str_bounds"] = f"WITH {CTE_PARSED} SELECT value, timestamp, unnest(warning_list) AS warning FROM validated"
-    out["str_resample"] = steady("SELECT * FROM filled WHERE bucket + INTERVAL 2 HOUR <= (SELECT max(timestamp) FROM readings)", key, METRICS, f"{CTE}, {FILLED('1 hour', AVGS())}")
+    out["str_resample"] = steady("SELECT * FROM filled", key, METRICS, f"{CTE}, {FILLED('1 hour', AVGS())}")
 
     # reads
-    out["q_timeseries"] = steady(f"SELECT site_id, bucket AS timestamp, {POWER}, CAST(count(*) OVER () AS BIGINT) AS total_points, min(bucket) OVER () AS start, max(bucket) OVER () AS \"end\" FROM filled WHERE site_id = 'home-01'", ["site_id", "timestamp", "total_points", "start", '"end"'], [POWER], f"{CTE}, {FILLED('15 minutes', AVGS())}")
+    cut = "timestamp BETWEEN TIMESTAMP '2024-01-08 06:00:00' AND TIMESTAMP '2024-01-19 18:30:00'"
+    sliced = f"readings AS (SELECT * FROM ({READINGS}) r WHERE site_id = 'home-01' AND {cut})"
+    out["q_timeseries"] = steady(f"SELECT site_id, bucket AS timestamp, {POWER}, CAST(count(*) OVER () AS BIGINT) AS total_points, min(bucket) OVER () AS start, max(bucket) OVER () AS \"end\" FROM filled", ["site_id", "timestamp", "total_points", "start", '"end"'], [POWER], f"{sliced}, {FILLED('15 minutes', AVGS())}")
+
+    # calendar and compound bucket rules
+    for name, bucket in (("week", "date_trunc('week', timestamp) + INTERVAL 6 DAY"), ("month", "last_day(timestamp)::TIMESTAMP"), ("90min", BUCKET("90 minutes")), ("1h30min", BUCKET("90 minutes")), ("half_day", BUCKET("12 hours"))):
+        out[f"res_mean_{name}"] = steady(f"SELECT site_id, ({bucket})::TIMESTAMP AS bucket, {AVGS()} FROM readings GROUP BY ALL", key, METRICS)
+
+    # the small forest and what rests on its scores
+    scored, marks = f"{CTE_MATRIX}, {SCORED}", ["anomaly_score"]
+    severity = "ORDER BY anomaly_score, timestamp, id"
+    flags = ["is_anomaly", "prediction"]
+    out["mod_if_score"] = steady("SELECT * FROM scored", ALL, ["raw_score"], scored)
+    out["flt_anom"] = steady("SELECT * FROM scored WHERE is_anomaly", [*ALL, *flags], [*METRICS, *marks], scored)
+    out["top_anom"] = steady(f"SELECT * FROM scored WHERE is_anomaly {severity} LIMIT 50", [*ALL, *flags], [*METRICS, *marks], scored)
+    statistics = f"SELECT 'isolation_forest' AS model_name, count(*) AS n_total, count(*) FILTER (is_anomaly) AS n_anomalies, avg(anomaly_score) AS mean, stddev_pop(anomaly_score) AS std, min(anomaly_score) AS min, max(anomaly_score) AS max, quantile_cont(anomaly_score, 0.01) AS p01, quantile_cont(anomaly_score, 0.05) AS p05, quantile_cont(anomaly_score, 0.95) AS p95, quantile_cont(anomaly_score, 0.99) AS p99, {HU('count(*) FILTER (is_anomaly) / count(*)::DOUBLE', 4)} AS anomaly_rate FROM scored"
+    stats = ["model_name", "n_total", "n_anomalies"], ["mean", "std", "min", "max", "p01", "p05", "p95", "p99", "anomaly_rate"]
+    out["agg_scores"] = steady(statistics, *stats, scored)
+    out["mod_eval"] = steady(f"{statistics} WHERE site_id <> 'home-01'", *stats, scored)
+    totals = f"SELECT count(*) AS total, count(*) FILTER (is_anomaly) AS anomaly_count, {HU('count(*) FILTER (is_anomaly) / count(*)::DOUBLE', 4)} AS anomaly_rate, {HU('count(*) FILTER (is_anomaly) / count(*)::DOUBLE * 100', 2)} AS anomaly_pct"
+    out["agg_batch"] = steady(f"{totals} FROM scored", ["total", "anomaly_count"], ["anomaly_rate", "anomaly_pct"], scored)
+    out["mod_score_batch"] = steady(f"{totals}, site_id FROM scored GROUP BY site_id", ["site_id", "total", "anomaly_count"], ["anomaly_rate", "anomaly_pct"], scored)
+    out["join_overlay"] = steady("SELECT r.*, s.anomaly_score, s.is_anomaly FROM readings r LEFT JOIN (SELECT id, anomaly_score, is_anomaly FROM scored) s USING (id)", [*ALL, "is_anomaly"], [*METRICS, *marks], scored)
+    out["join_lookup"] = steady("SELECT id, anomaly_score FROM scored", ["id"], marks, scored)
+    out["mod_score_df"] = steady("SELECT * FROM scored", [*ALL, *flags], marks, scored)
+    out["mod_score_raw"] = steady("SELECT * FROM scored", [*ALL, "is_anomaly"], marks, scored)
+    out["str_score"] = steady("SELECT * FROM scored", ["site_id", "timestamp", "id", "is_anomaly"], [POWER, *marks], scored)
+    iso = lambda c: f"CASE WHEN microsecond({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') END"
+    report = f"SELECT {iso('timestamp')} AS timestamp, {HU('anomaly_score', 4)} AS anomaly_score, {HU(POWER, 3)} AS {POWER}, {HU(VOLT, 2)} AS {VOLT}, count(*) OVER () AS total_found, (SELECT {iso('min(timestamp)')} FROM {{r}}) AS range_start, (SELECT {iso('max(timestamp)')} FROM {{r}}) AS range_end FROM (SELECT * FROM scored WHERE is_anomaly {{w}} {severity} LIMIT 50) t"
+    said = ["timestamp", "total_found", "range_start", "range_end"]
+    out["top_anom_report"] = steady(report.format(r="readings", w=""), said, ["anomaly_score", POWER, VOLT], scored)
+    home = f"(SELECT * FROM readings WHERE site_id = 'home-01' AND {cut})"
+    out["q_anomalies"] = steady(report.format(r=home, w=f"AND site_id = 'home-01' AND {cut}"), said, ["anomaly_score", POWER, VOLT], scored)
+    listed = f"SELECT strftime(timestamp, '%Y-%m-%d %H:%M') AS {{t}}, {HU(POWER, 3)} AS power_kw, {HU(VOLT, 1)} AS voltage_v, {HU('anomaly_score', 4)} AS anomaly_score, {{more}} FROM scored WHERE is_anomaly {severity} LIMIT {{n}}"
+    table = listed.format(t="time", more="(SELECT count(*) FILTER (is_anomaly) FROM scored) AS total_anomalies", n=100)
+    shown = ["time", "total_anomalies"], ["power_kw", "voltage_v", "anomaly_score"]
+    out["top_anom_table"] = steady(table, *shown, scored)
+    part = f"{sliced}, {FULL}, {MATRIX}, {SCORED}"
+    counted = f"(SELECT count(*) FILTER (is_anomaly) FROM scored) AS total_anomalies_in_range, (SELECT count(*) FROM scored) AS total_readings_in_range, (SELECT {HU('count(*) FILTER (is_anomaly) / count(*)::DOUBLE * 100', 2)} FROM scored) AS anomaly_rate"
+    out["q_tool_anomalies"] = steady(listed.format(t="timestamp", more=counted, n=10), ["timestamp", "total_anomalies_in_range", "total_readings_in_range"], ["power_kw", "voltage_v", "anomaly_score", "anomaly_rate"], part)
+    out["q_timeseries_overlay"] = steady(f"SELECT r.site_id, r.timestamp, r.id, r.{POWER}, s.anomaly_score, s.is_anomaly, count(*) OVER () AS total_points, min(r.timestamp) OVER () AS start, max(r.timestamp) OVER () AS \"end\", count(*) FILTER (s.is_anomaly) OVER () AS anomaly_count FROM {home} r LEFT JOIN (SELECT id, anomaly_score, is_anomaly FROM scored) s USING (id)", ["site_id", "timestamp", "id", "is_anomaly", "total_points", "start", '"end"', "anomaly_count"], [POWER, *marks], scored)
+
+    # the dashboard's tables, on whole days of one site
+    days = f"readings AS (SELECT * FROM ({READINGS}) r WHERE site_id = 'home-01' AND timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-21')"
+    part = f"{days}, {FULL}, {MATRIX}, {SCORED}"
+    out["q_dash_cards"] = steady(f"SELECT * FROM (SELECT site_id, avg({POWER}) AS avg_power, max({POWER}) AS peak_power, count(*) AS readings, avg({VOLT}) AS avg_voltage FROM readings GROUP BY site_id) c JOIN (SELECT site_id, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (is_anomaly) / count(*)::DOUBLE * 100 AS anomaly_pct FROM scored GROUP BY site_id) a USING (site_id)", ["site_id", "readings", "anomalies"], ["avg_power", "peak_power", "avg_voltage", "anomaly_pct"], part)
+    hourly = f"{part}, {FILLED('1 hour', AVGS() + f', min({VOLT}) AS lo, max({VOLT}) AS hi')}, every AS {SPINE('1 hour')}"
+    near = "SELECT 1 FROM scored s, (SELECT min(bucket) AS a, max(bucket) AS b FROM filled) e WHERE s.is_anomaly AND least(greatest(time_bucket(INTERVAL '1 hour', s.timestamp + INTERVAL 30 MINUTE), a), b) = x.bucket"
+    out["q_dash"] = steady(f"SELECT x.site_id, x.bucket, {POWER}, EXISTS ({near}) AS is_marked FROM every x LEFT JOIN filled f ON f.bucket = x.bucket", ["site_id", "bucket", "is_marked"], [POWER], hourly)
+    out["q_dash_voltage"] = steady(f"SELECT x.site_id, x.bucket, {VOLT} AS mean, lo AS min, hi AS max, 230.0 AS nominal, 207.0 AS lower, 253.0 AS upper FROM every x LEFT JOIN filled f ON f.bucket = x.bucket", key, ["mean", "min", "max", "nominal", "lower", "upper"], hourly)
+    meters = " UNION ALL ".join(f"SELECT x.site_id, x.bucket, '{m}' AS meter, '{label}' AS label, {m} AS mean_wh FROM every x LEFT JOIN filled f ON f.bucket = x.bucket" for m, label in zip(METRICS[4:], ("Kitchen", "Laundry", "Water/AC")))
+    out["q_dash_sub_meters"] = steady(meters, ["site_id", "bucket", "meter", "label"], ["mean_wh"], hourly)
+    out["q_dash_anomalies"] = steady(table, *shown, part)
     return out

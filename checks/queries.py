@@ -11,7 +11,7 @@ from wattspan.durable import durable, scratch_path
 from wattspan.functions import calendar, energy
 from wattspan.models import neighbours, registry
 from wattspan.models.evaluate import batch_totals, score_statistics
-from wattspan.models.iforest import SAMPLE, fit_forest, forest_scorer
+from wattspan.models.iforest import NODE_SCHEMA, fit_forest, forest_scorer
 from wattspan.models.lof import fit_lof, score_lof
 from wattspan.models.scaler import fit_scaler, scaled_vector
 from wattspan.models.scoring import AnomalyDetector
@@ -24,6 +24,8 @@ from wattspan.streaming import live
 
 KEYS = ["id", "timestamp", "site_id", "device_id"]
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
+# a range with readings before and after it
+CUT_START, CUT_END = "2024-01-08 06:00:00", "2024-01-19 18:30:00"
 _made: dict = {}
 
 
@@ -83,13 +85,37 @@ def trained(spark, sf_dir):
     return once(spark, sf_dir, "model", make)
 
 
+# A small forest over three features, written out, so that another engine can score it too.
+FOREST_FEATURES = [POWER, VOLTAGE, f"{POWER}_lag_60m"]
+FOREST_SCALER = [(0, POWER, 1.0, 2.0), (1, VOLTAGE, 230.0, 8.0), (2, f"{POWER}_lag_60m", 1.0, 2.0)]
+FOREST_NODES = [
+    (0, 0, 0, -0.25, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 11.5), (0, 2, 1, 0.5, 3, 4, 0.0), (0, 3, -1, 0.0, -1, -1, 9.0), (0, 4, -1, 0.0, -1, -1, 3.25),
+    (1, 0, 1, -0.9375, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 4.5), (1, 2, 2, 0.0, 3, 4, 0.0), (1, 3, -1, 0.0, -1, -1, 10.25), (1, 4, -1, 0.0, -1, -1, 6.0),
+    (2, 0, 2, -0.25, 1, 2, 0.0), (2, 1, 0, -0.375, 3, 4, 0.0), (2, 2, -1, 0.0, -1, -1, 7.5), (2, 3, -1, 0.0, -1, -1, 12.0), (2, 4, -1, 0.0, -1, -1, 4.0),
+]
+FOREST_OFFSET = -0.68
+
+
+def literal_forest(spark):
+    return spark.createDataFrame(FOREST_NODES, NODE_SCHEMA)
+
+
 def detector(spark, sf_dir):
-    return AnomalyDetector(spark, trained(spark, sf_dir)[0])
+    """A detector on the small forest, saved and loaded through a registry."""
+
+    def make():
+        path = scratch_path(spark, "models")
+        scaler = spark.createDataFrame(FOREST_SCALER, "position int, feature string, mean double, scale double")
+        stats = {"n_total": 0, "anomaly_rate": 0.0, **dict.fromkeys(registry.STATS, 0.0)}
+        training.save_model(spark, path, "isolation_forest", literal_forest(spark), scaler, FOREST_FEATURES, stats, FOREST_OFFSET, 256)
+        return path
+
+    return AnomalyDetector(spark, once(spark, sf_dir, "literal", make))
 
 
 def scored_table(spark, sf_dir):
     def make():
-        scored = detector(spark, sf_dir).score_raw_readings(filters.by_site(fixtures.readings(spark, sf_dir)))
+        scored = detector(spark, sf_dir).score_raw_readings(fixtures.readings(spark, sf_dir))
         return durable(scored.select(*KEYS, *METRICS, "anomaly_score", "is_anomaly", "prediction"), "scored")
 
     return once(spark, sf_dir, "scored", make)
@@ -200,9 +226,14 @@ def _stream(spark, sf_dir, start, out_name):
 
 
 def _str_ingest(spark, sf_dir):
-    lines = live.read_line_stream(spark, raw_folder(spark, sf_dir), 1)
-    out = _stream(spark, sf_dir, lambda o, c: live.ingest_stream(lines, o, c), "ingested")
-    return read_readings(spark, out).select(TS, *METRICS)
+    """A stream per site, all into one table."""
+    rows, out = fixtures.readings(spark, sf_dir), scratch_path(spark, "ingested")
+    for site in sorted(r[SITE] for r in rows.select(SITE).distinct().collect()):  # a row per site
+        folder = scratch_path(spark, "site-lines")
+        fixtures.raw_lines(rows.where(F.col(SITE) == site)).select("value").write.text(folder)
+        lines = live.read_line_stream(spark, folder, 1)
+        live.ingest_stream(lines, out, scratch_path(spark, "progress"), site_id=site).awaitTermination()
+    return read_readings(spark, out).select(SITE, TS, *METRICS)
 
 
 def _str_bounds(spark, sf_dir):
@@ -212,7 +243,7 @@ def _str_bounds(spark, sf_dir):
 
 def _str_resample(spark, sf_dir):
     rows = live.read_reading_stream(spark, reading_folder(spark, sf_dir))
-    return spark.read.parquet(_stream(spark, sf_dir, lambda o, c: live.resample_stream(rows, "1h", o, c), "resampled"))
+    return live.read_resampled(spark, _stream(spark, sf_dir, lambda o, c: live.resample_stream(rows, "1h", o, c), "resampled"))
 
 
 def _str_score(spark, sf_dir):
@@ -250,9 +281,24 @@ def _forest(spark, sf_dir):
 
 
 def _if_score(spark, sf_dir):
-    nodes, n = _forest(spark, sf_dir)
-    score = forest_scorer(spark, nodes, min(SAMPLE, n))
-    return _vectors(spark, sf_dir).select(*KEYS, score("features").alias("raw_score"))
+    score = forest_scorer(spark, literal_forest(spark), 256)
+    vector = F.array(*[(F.col(c) - mean) / scale for _, c, mean, scale in FOREST_SCALER])
+    return _matrix(fixtures.readings(spark, sf_dir)).select(*KEYS, score(vector).alias("raw_score"))
+
+
+def _with_gaps(r):
+    """Readings with missing metrics, also written as NaN."""
+    gone = F.lit(None).cast("double")
+    return r.withColumns({
+        METRICS[5]: F.when(F.col(ID) % 13 == 0, gone).otherwise(F.col(METRICS[5])),
+        VOLTAGE: F.when(F.col(ID) % 29 == 0, gone).otherwise(F.col(VOLTAGE)),
+    })
+
+
+def _dash(spark, sf_dir, table):
+    key = f"dash-{table}"
+    tables = reads.dashboard(fixtures.readings(spark, sf_dir), "home-01", "2024-01-05", "2024-01-20", "1h", detector(spark, sf_dir))
+    return once(spark, sf_dir, key, lambda: tables[table])
 
 
 def _compared(spark, sf_dir):
@@ -330,6 +376,8 @@ def queries():
 
     # resampling
     on_readings("res_mean", lambda r: resample.resample_mean(r, "15min"))
+    for name, rule in (("week", "1W"), ("month", "ME"), ("90min", "90min"), ("1h30min", "1h30min"), ("half_day", "0.5D")):
+        on_readings(f"res_mean_{name}", lambda r, rule=rule: resample.resample_mean(r, rule))
     on_readings("res_mean_full", lambda r: resample.resample_mean_full(r, "5h"))
     on_readings("res_band", lambda r: resample.voltage_band(r, "1h"))
     on_readings("res_count", resample.daily_counts)
@@ -343,7 +391,7 @@ def queries():
     on_readings("agg_cards", profile.cards)
     on_readings("agg_describe", profile.describe)
     on_readings("agg_shape", profile.shape)
-    on_readings("agg_nulls", profile.null_counts)
+    on_readings("agg_nulls", lambda r: profile.null_counts(_with_gaps(r)))
     engineered = [c for c in features.feature_names() if c not in METRICS]
     on_readings("agg_nullpct", lambda r: profile.null_shares(_full(r), engineered))
     on_readings("agg_dropped", lambda r: profile.dropped_rows(_full(r), features.feature_names()))
@@ -365,10 +413,10 @@ def queries():
     on_session("join_overlay", lambda s, d: joins.overlay(fixtures.readings(s, d), scored_table(s, d)))
     on_readings("join_nearest", _nearest)
     on_session("join_knn", lambda s, d: neighbours.nearest_rows(embeddings(s, d), embeddings(s, d), 5, exclude_self=True))
-    on_session("join_lookup", lambda s, d: detector(s, d).score_dataframe(_matrix(filters.by_site(fixtures.readings(s, d)))).select(ID, "anomaly_score"))
+    on_session("join_lookup", lambda s, d: detector(s, d).score_dataframe(_matrix(fixtures.readings(s, d))).select(ID, "anomaly_score"))
     on_readings("join_thresh", _thresholds)
     on_session("top_anom", lambda s, d: ranking.get_anomalies(scored_table(s, d), 50))
-    on_session("top_anom_report", lambda s, d: ranking.anomaly_report(scored_table(s, d), filters.by_site(fixtures.readings(s, d))))
+    on_session("top_anom_report", lambda s, d: ranking.anomaly_report(scored_table(s, d), fixtures.readings(s, d)))
     on_session("top_anom_table", lambda s, d: ranking.anomaly_table(scored_table(s, d)))
     on_readings("top_gaps", ranking.longest_gaps)
     on_readings("lim_48", lambda r: reads.tool_timeseries(r, START, END))
@@ -386,7 +434,7 @@ def queries():
     on_session("mod_if_score", _if_score)
     on_session("mod_lof_fit", lambda s, d: fit_lof(embeddings(s, d))[1])
     on_session("mod_lof_score", lambda s, d: score_lof(embeddings(s, d), fit_lof(embeddings(s, d))[0]))
-    on_session("mod_eval", lambda s, d: score_statistics(trained(s, d)[1]["isolation_forest"]["scored"], "isolation_forest"))
+    on_session("mod_eval", lambda s, d: score_statistics(scored_table(s, d).where(F.col(SITE) != "home-01"), "isolation_forest"))
     on_session("mod_compare", _compared)
     on_session("mod_train", lambda s, d: training.train_models(fixtures.readings(s, d), scratch_path(s, "models"), site_id=None)["isolation_forest"]["scored"])
     on_readings("mod_registry", _registry)
@@ -402,9 +450,11 @@ def queries():
     on_session("str_score", _str_score)
 
     # reads
-    on_readings("q_timeseries", lambda r: reads.get_timeseries(r, start=START, end=END, rule="15min"))
-    on_session("q_timeseries_overlay", lambda s, d: reads.get_timeseries(fixtures.readings(s, d), start=START, end=END, detector=detector(s, d)))
-    on_session("q_anomalies", lambda s, d: reads.get_anomalies(fixtures.readings(s, d), detector(s, d), start=START, end=END))
-    on_session("q_tool_anomalies", lambda s, d: reads.tool_anomalies(fixtures.readings(s, d), detector(s, d), START, END))
-    on_session("q_dash", lambda s, d: reads.dashboard(fixtures.readings(s, d), "home-01", "2024-01-01", "2024-01-30", "1h", detector(s, d))["consumption"])
+    on_readings("q_timeseries", lambda r: reads.get_timeseries(r, start=CUT_START, end=CUT_END, rule="15min"))
+    on_session("q_timeseries_overlay", lambda s, d: reads.get_timeseries(fixtures.readings(s, d), start=CUT_START, end=CUT_END, detector=detector(s, d), context=True))
+    on_session("q_anomalies", lambda s, d: reads.get_anomalies(fixtures.readings(s, d), detector(s, d), start=CUT_START, end=CUT_END, context=True))
+    on_session("q_tool_anomalies", lambda s, d: reads.tool_anomalies(fixtures.readings(s, d), detector(s, d), CUT_START, CUT_END))
+    on_session("q_dash", lambda s, d: _dash(s, d, "consumption"))
+    for table in ("cards", "voltage", "sub_meters", "anomalies"):
+        on_session(f"q_dash_{table}", lambda s, d, table=table: _dash(s, d, table))
     return q

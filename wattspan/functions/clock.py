@@ -1,6 +1,7 @@
 """Arithmetic on zone-free timestamps (TIMESTAMP_NTZ) in microseconds."""
 
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,12 +10,16 @@ DAY_US = 86_400_000_000
 
 # Unit spellings accepted in a bucket rule such as '15min'.
 _UNIT_US = {
+    "us": 1,
+    "ms": 1_000,
     "s": 1_000_000,
     "min": 60_000_000,
     "t": 60_000_000,
     "h": 3_600_000_000,
     "d": DAY_US,
 }
+# Rules whose buckets are calendar units.
+CALENDAR_RULES = {"W": "week", "W-SUN": "week", "ME": "month", "M": "month"}
 
 
 def as_col(c) -> Column:
@@ -45,12 +50,21 @@ def midnight(ts) -> Column:
     return floor_to(ts, DAY_US)
 
 
+def calendar_unit(rule: str) -> str | None:
+    """``week`` or ``month`` for a rule that is labelled by the last day of one, otherwise None."""
+    return CALENDAR_RULES.get(rule.strip().removeprefix("1"))
+
+
 def rule_micros(rule: str) -> int:
-    """Length of a bucket rule: ``5min``, ``1h``, ``1D``, ``90s``, ``h``."""
-    match = re.fullmatch(r"\s*(\d*)\s*([A-Za-z]+)\s*", rule)
-    if not match or match.group(2).lower() not in _UNIT_US:
+    """Length of a bucket rule: ``5min``, ``1h``, ``1D``, ``90s``, ``h``, ``1h30min``, ``1.5h``, ``500ms``."""
+    parts = re.findall(r"(\d+(?:\.\d+)?|\.\d+)?\s*([A-Za-z]+)\s*", rule)
+    if not parts or "".join(a + b for a, b in parts) != re.sub(r"\s", "", rule):
         raise ValueError(f"unsupported bucket rule: {rule!r}")
-    count = int(match.group(1) or 1)
-    if count < 1:
-        raise ValueError(f"bucket rule must be positive: {rule!r}")
-    return count * _UNIT_US[match.group(2).lower()]
+    total = Fraction(0)
+    for count, unit in parts:
+        if unit.lower() not in _UNIT_US:
+            raise ValueError(f"unsupported bucket rule: {rule!r}")
+        total += Fraction(count or "1") * _UNIT_US[unit.lower()]
+    if total < 1 or total.denominator != 1:
+        raise ValueError(f"bucket rule must be a positive number of microseconds: {rule!r}")
+    return int(total)

@@ -1,10 +1,11 @@
 """Model registry: an append-only table of entries and the rules to pick one."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattspan.durable import exists
+
 STATS = ["mean", "std", "min", "max", "p01", "p05", "p95", "p99"]
 
 ENTRY = T.StructType(
@@ -31,10 +32,9 @@ def registry_path(models_dir: str) -> str:
 
 def read_registry(spark: SparkSession, models_dir: str) -> DataFrame:
     """All entries; an empty table when nothing was saved yet."""
-    try:
-        return spark.read.schema(ENTRY).parquet(registry_path(models_dir))
-    except AnalysisException:
+    if not exists(spark, registry_path(models_dir)):
         return spark.createDataFrame([], ENTRY)
+    return spark.read.schema(ENTRY).parquet(registry_path(models_dir))
 
 
 def next_version(entries: DataFrame, keys=()) -> DataFrame:

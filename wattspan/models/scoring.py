@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattspan.durable import durable
 from wattspan.models import registry
 from wattspan.models.evaluate import flag
 from wattspan.models.iforest import forest_scorer
@@ -45,9 +46,11 @@ class AnomalyDetector:
             score = forest_scorer(self.spark, self.model, self.entry["sample_size"])
             raw = vectors.withColumn("_raw", score("_features"))
         else:
-            queries = vectors.select(F.col(ID).alias("id"), F.col("_features").alias("features"))
+            # a key of its own: buckets have no id, and ids alone may repeat
+            vectors = durable(vectors.withColumn("_key", F.monotonically_increasing_id()), "vectors")
+            queries = vectors.select(F.col("_key").alias("id"), F.col("_features").alias("features"))
             factors = score_lof(queries, self.model, self.entry["sample_size"])
-            raw = vectors.join(factors.select(F.col("id").alias(ID), (-F.col("lof")).alias("_raw")), ID)
+            raw = vectors.join(factors.select(F.col("id").alias("_key"), (-F.col("lof")).alias("_raw")), "_key").drop("_key")
         scored = raw.withColumn("anomaly_score", F.col("_raw") - F.lit(self.entry["score_offset"]))
         return flag(scored.drop("_features", "_raw"))
 
@@ -64,7 +67,10 @@ class AnomalyDetector:
         broken = readings.where(F.size(input_violations()) > 0).limit(1).collect()
         if broken:
             raise ValueError(f"reading {broken[0][ID]} breaks the input rules")
-        return self.score_raw_readings(readings)
+        scored = self.score_raw_readings(readings)
+        if scored.isEmpty():
+            raise ValueError("too few readings: none has the history that its features need")
+        return scored
 
     def get_anomalies(self, scored: DataFrame, top_n: int | None = None) -> DataFrame:
         return get_anomalies(scored, top_n)

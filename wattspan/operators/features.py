@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from wattspan.functions.calendar import CALENDAR, CYCLICAL, temporal
 from wattspan.functions.energy import RATIOS, submetering_ratios
-from wattspan.operators.ordering import CHUNK_ROWS
+from wattspan.operators.ordering import CHUNK_ROWS, SLOT_SECONDS
 from wattspan.operators.windows import (
     LAGS,
     WINDOWS,
@@ -49,6 +49,7 @@ def build_feature_matrix(
     lags=LAGS,
     windows=WINDOWS,
     chunk_rows: int = CHUNK_ROWS,
+    slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
     """Temporal, lag, rolling, rate-of-change and sub-meter features of each reading.
 
@@ -69,7 +70,7 @@ def build_feature_matrix(
         return d.select(*needed, "_row.*", *rolled)
 
     halo = max(max(windows) - 1, *lags, 5)
-    out = on_rows(df, halo, build, keys, order, chunk_rows)
+    out = on_rows(df, halo, build, keys, order, chunk_rows, slot_seconds)
     if drop_na:
         out = complete_rows(out, df.columns, target_col, lags)
     derived = [c for c in feature_names(target_col, lags, windows) if c not in METRICS]

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattspan.durable import durable
 from wattspan.functions.clock import from_micros, micros, midnight
 from wattspan.operators.ordering import last_rows, number_rows
 from wattspan.operators.quantiles import attach, exact_quantiles
@@ -11,7 +12,6 @@ from wattspan.sources.readings import in_range
 
 PRESET_DAYS = {"24h": 1, "7d": 7, "30d": 30, "all": None}
 DAY_SECONDS = 86_400
-MAX_BATCH = 10_000
 
 
 def by_site(df: DataFrame, site_id: str = "home-01") -> DataFrame:
@@ -63,23 +63,25 @@ def input_violations() -> Column:
 def exact_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """Exactly round(fraction * n) rows, chosen by the order of a hash of their id.
 
-    The hash is a number that is spread evenly, so the rank that separates the
-    sample is found as an exact quantile and no global sort is needed; rows
-    that share the threshold's hash prefix are ranked among themselves.
+    The digest of the last row of the sample is found from counts: first the slot of
+    16 bits that holds it, then its rank within the slot. Rows are then only
+    compared with it, so none is shuffled; rows whose digests are equal are told apart by
+    their id.
     """
     digest = F.md5(F.concat_ws(":", F.col(ID), F.lit(seed)))
-    drawn = df.withColumns({"_digest": digest, "_u": F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")})
-    buckets = drawn.groupBy(F.shiftright("_u", 16).alias("_b")).agg(F.count(F.lit(1)).alias("_in_slot"))
-    # 65,536 buckets at most, whatever the size of the data
+    drawn = df.select(digest.alias("_digest"), F.col(ID).alias("_id")).withColumn("_b", F.substring("_digest", 1, 4))
+    # 65,536 slots at most, whatever the size of the data
+    slots = durable(drawn.groupBy("_b").agg(F.count(F.lit(1)).alias("_in_slot")), "slots")
     ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = df.select(F.round(F.lit(fraction) * F.count(F.lit(1))).cast("long").alias("_k"))
-    buckets = buckets.withColumn("_before", F.coalesce(F.sum("_in_slot").over(ahead), F.lit(0)))
-    placed = drawn.withColumn("_b", F.shiftright("_u", 16)).join(buckets, "_b").withColumn("_k", wanted.scalar())
-    sure = placed.where(F.col("_before") + F.col("_in_slot") <= F.col("_k"))
-    edge = placed.where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_in_slot") > F.col("_k")))
-    ranked = edge.withColumn("_at", F.row_number().over(Window.partitionBy("_b").orderBy("_digest", ID)))
-    rest = ranked.where(F.col("_before") + F.col("_at") <= F.col("_k")).drop("_at")
-    return sure.unionByName(rest).select(*df.columns)
+    wanted = slots.select(F.round(F.lit(fraction) * F.sum("_in_slot")).cast("long").alias("_k"))
+    slots = slots.withColumn("_before", F.coalesce(F.sum("_in_slot").over(ahead), F.lit(0))).withColumn("_k", wanted.scalar())
+    edge = slots.where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_in_slot") >= F.col("_k"))).first()
+    if edge is None:
+        return df.limit(0)
+    left = edge["_k"] - edge["_before"]
+    last = drawn.where(F.col("_b") == edge["_b"]).orderBy("_digest", "_id").limit(left)
+    last = last.agg(F.max(F.struct("_digest", "_id")).alias("m")).first()["m"]
+    return df.where((digest < last["_digest"]) | ((digest == last["_digest"]) & (F.col(ID) <= last["_id"])))
 
 
 def power_limits(df: DataFrame, keys=(SITE,)) -> DataFrame:

@@ -9,6 +9,8 @@ error does not reach the result. Only bins that hold a wanted rank are sorted.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattspan.durable import durable
+
 BINS = 256
 
 
@@ -40,8 +42,9 @@ def exact_quantiles(df: DataFrame, value, probabilities: dict[str, float], keys=
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     marks = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", marks, 10_000).alias("_cuts"), F.sum("_n").alias("_total")
+    # written once: a retry may cut elsewhere, and a small table's size is known when it is joined
+    cuts = durable(
+        counts.groupBy(*keys).agg(F.percentile_approx("_v", marks, 10_000).alias("_cuts"), F.sum("_n").alias("_total")), "cuts"
     )
     ranks = _ranks(probabilities.values(), F.col("_total"))
     wanted = F.array_distinct(F.array(*[r for low, high, _ in ranks for r in (low, high)]))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.functions.clock import DAY_US, floor_to, from_micros, micros, midnight, rule_micros
+from wattspan.functions.clock import DAY_US, calendar_unit, floor_to, from_micros, micros, midnight, rule_micros
 from wattspan.schema import METRICS, POWER, SITE, SUB_METERS, TS, VOLTAGE
 
 SPINE_STEP = 4096
@@ -16,9 +16,15 @@ METER_LABELS = {"sub_metering_1_wh": "Kitchen", "sub_metering_2_wh": "Laundry",
 def with_bucket(df: DataFrame, rule: str, keys=(SITE,)) -> DataFrame:
     """Add ``bucket``: left-closed, left-labelled, counted from midnight of the key's first day.
 
-    Steps that divide a day fall on the same grid from any midnight, so only
+    Weeks and months are labelled by their last day. Steps that divide a day fall on the same grid from any midnight, so only
     other steps have to look up the first day.
     """
+    unit = calendar_unit(rule)
+    if unit:
+        # weeks end on Sunday; both are labelled by their last day
+        day = F.to_date(TS)
+        end = F.date_add(day, 6 - F.weekday(day)) if unit == "week" else F.last_day(day)
+        return df.withColumn("bucket", end.cast("timestamp_ntz"))
     step = rule_micros(rule)
     if DAY_US % step == 0:
         return df.withColumn("bucket", floor_to(TS, step))
@@ -33,8 +39,14 @@ def resample(df: DataFrame, rule: str, aggregates, keys=(SITE,)) -> DataFrame:
 
 def spine(buckets: DataFrame, rule: str, keys=(SITE,)) -> DataFrame:
     """Every bucket from a key's first to its last, built in short runs."""
-    step = rule_micros(rule)
     ends = buckets.groupBy(*keys).agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
+    unit = calendar_unit(rule)
+    if unit:
+        apart = F.expr("INTERVAL 7 DAYS" if unit == "week" else "INTERVAL 1 MONTH")
+        every = ends.select(*keys, F.explode(F.sequence(F.to_date("_a"), F.to_date("_b"), apart)).alias("day"))
+        day = F.col("day") if unit == "week" else F.last_day("day")
+        return every.select(*keys, day.cast("timestamp_ntz").alias("bucket"))
+    step = rule_micros(rule)
     last = F.floor((micros("_b") - micros("_a")) / F.lit(step))
     runs = ends.withColumn("_last", last).withColumn(
         "_run", F.explode(F.sequence(F.lit(0), F.floor(F.col("_last") / SPINE_STEP)))

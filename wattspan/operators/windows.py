@@ -2,11 +2,12 @@
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattspan.functions import moments
 from wattspan.functions.clock import micros
-from wattspan.operators.ordering import CHUNK_ROWS, chunk_window, number_rows, with_halo, without_halo
-from wattspan.schema import ORDER, POWER, SITE, TS
+from wattspan.operators.ordering import CHUNK_ROWS, SLOT_SECONDS, chunk_window, number_rows, with_halo, without_halo
+from wattspan.schema import METRICS, ORDER, POWER, SITE, TS
 
 LAGS = (1, 5, 15, 60)
 WINDOWS = (60, 360, 1440)
@@ -113,9 +114,14 @@ def add_rolling(
     return df.select(*kept, *named)
 
 
-def on_rows(df: DataFrame, halo: int, build, keys=(SITE,), order=tuple(ORDER), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Run ``build(df, window)`` over chunked rows that can look back ``halo`` rows."""
-    numbered = number_rows(df, keys, order, name="_rn")
+def on_rows(df: DataFrame, halo: int, build, keys=(SITE,), order=tuple(ORDER), chunk_rows: int = CHUNK_ROWS, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Run ``build(df, window)`` over chunked rows that can look back ``halo`` rows.
+
+    A metric that is NaN counts as null. ``slot_seconds`` is the unit in which rows are numbered.
+    """
+    missing = F.lit(None).cast("double")
+    numbers = {f.name: F.nanvl(F.col(f.name), missing) for f in df.schema if f.name in METRICS and isinstance(f.dataType, T.DoubleType)}
+    numbered = number_rows(df.withColumns(numbers) if numbers else df, keys, order, slot_seconds, name="_rn")
     built = build(with_halo(numbered, halo, "_rn", chunk_rows), chunk_window(keys, "_rn"))
     return without_halo(built).drop("_rn")
 

@@ -13,7 +13,7 @@ from wattspan.models.lof import NEIGHBOURS, fit_lof, score_lof
 from wattspan.models.scaler import fit_scaler, scaled_vector
 from wattspan.operators.features import build_feature_matrix, get_numeric_features
 from wattspan.operators.filters import by_site, exact_sample
-from wattspan.schema import ID, ORDER, SITE
+from wattspan.schema import ORDER, SITE
 
 CONTAMINATION = 0.01
 IDENTITY = [SITE, *ORDER]
@@ -100,13 +100,16 @@ def train_models(
 
     if compare:
         k = min(NEIGHBOURS, n - 1)
-        model, factor = fit_lof(vectors.withColumnRenamed(ID, "id"), k)
+        keyed = durable(vectors.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+        plain = keyed.select(F.col("_key").alias("id"), "features")
+        model, factor = fit_lof(plain, k)
         fitted = durable(factor, "factors")
         offset_rows = fitted.select((-F.col("lof")).alias("raw_score"))
         offset = score_offset(offset_rows, contamination)
         if not exclude_self:
-            fitted = durable(score_lof(vectors.withColumnRenamed(ID, "id"), model, k), "factors")
-        raw = vectors.drop("features").join(fitted.select(F.col("id").alias(ID), (-F.col("lof")).alias("raw_score")), ID)
+            fitted = durable(score_lof(plain, model, k), "factors")
+        raw = keyed.drop("features").join(fitted.select(F.col("id").alias("_key"), (-F.col("lof")).alias("raw_score")), "_key")
+        raw = raw.drop("_key")
         results["lof"] = _finish(
             spark, models_dir, "lof", model, scaler, names, durable(raw, "raw"), contamination, k, offset
         )
@@ -129,7 +132,7 @@ def compare_models(results: dict) -> DataFrame:
         out = out.unionByName(frame)
     flagged = None
     for r in results.values():
-        ids = r["scored"].where("is_anomaly").select(ID)
-        flagged = ids if flagged is None else flagged.join(ids, ID, "left_semi")
+        ids = r["scored"].where("is_anomaly").select(*IDENTITY)
+        flagged = ids if flagged is None else flagged.join(ids, IDENTITY, "left_semi")
     both = flagged.agg(F.count(F.lit(1)).alias("n")).scalar()
     return out.select("model_name", "n_total", "n_anomalies", "anomaly_rate", both.alias("flagged_by_all"))

@@ -32,8 +32,6 @@ VOLTAGE = METRICS[2]
 CURRENT = METRICS[3]
 SUB_METERS = METRICS[4:]
 
-RAW_TO_TABLE = dict(zip(RAW_METRICS, METRICS))
-
 # The identity and order of a reading; the order key breaks timestamp ties.
 READING_KEYS = [ID, TS, SITE, DEVICE]
 ORDER = [TS, ID]

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspan.durable import durable
 from wattspan.schema import BOUNDS, METRICS, RAW_METRICS, TS
 from wattspan.sources.readings import append_readings
 
@@ -113,9 +112,10 @@ def load_counters(validated: DataFrame) -> DataFrame:
 def bulk_load(lines: DataFrame, table_path: str, site_id: str = "home-01", device_id: str = "meter-main") -> DataFrame:
     """Append every ok line to the readings table and return the load counters.
 
-    The validated lines are written once, so the table and the counters agree
-    even when a task is retried. Loading a file twice keeps both copies.
+    Parsing is a pure function of the lines, so they are read once for the table and
+    once for the counters, and no copy of them is written. Loading a file twice keeps
+    both copies.
     """
-    validated = durable(validate_lines(lines), "validated")
+    validated = validate_lines(lines)
     append_readings(to_readings(validated), table_path, site_id, device_id)
     return load_counters(validated)

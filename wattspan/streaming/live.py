@@ -1,15 +1,19 @@
 """Live ingest, bounds warnings, resampling, scoring and synthetic replay.
 
 Sinks that write from ``foreachBatch`` put each micro-batch in a folder named
-by its number and overwrite it, so a repeated batch leaves no copies.
+by its number and overwrite it, so a repeated batch leaves no copies. In a table
+that several streams share the name also holds an id that is kept in the
+stream's own checkpoint folder.
 """
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wattspan.durable import remove
 from wattspan.functions.clock import rule_micros
 from wattspan.models.scoring import AnomalyDetector
 from wattspan.operators.ordering import last_rows
@@ -42,6 +46,13 @@ def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of a stream, made once and kept in its checkpoint folder: a new checkpoint is another stream."""
+    path = f"{checkpoint.rstrip('/')}/wattspan-stream"
+    spark.createDataFrame([(uuid.uuid4().hex,)], "name string").coalesce(1).write.mode("ignore").text(path)
+    return spark.read.text(path).first()["value"]
+
+
 def ingest_stream(
     lines: DataFrame,
     table_path: str,
@@ -53,20 +64,22 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Append the ok lines of a stream to the readings table.
 
-    ``max_rows`` (None or 0: no limit) keeps the first rows in arrival order
-    and writes nothing after them.
+    ``max_rows`` (None or 0: no limit) keeps the first rows of this stream in
+    arrival order and writes nothing after them; rows of other loads do not count. A
+    compaction in between would hide rows from that count.
     """
     init_readings(lines.sparkSession, table_path)
+    name = stream_name(lines.sparkSession, checkpoint)
 
     def append(batch: DataFrame, number: int) -> None:
-        rows = to_readings(validate_lines(batch))
+        rows, own = to_readings(validate_lines(batch)), f"live-{name}-{number}"
         if max_rows:
-            spark = batch.sparkSession
-            own = f"live-{number}"
-            before = read_readings(spark, table_path).where(F.col("load") != own).count()
+            loads = F.col("load")
+            table = read_readings(batch.sparkSession, table_path)
+            before = table.where(loads.startswith(f"live-{name}-") & (loads != own)).count()
             rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at")
             rows = rows.limit(max(max_rows - before, 0)).drop("_at")
-        append_readings(rows, table_path, site_id, device_id, load=f"live-{number}")
+        append_readings(rows, table_path, site_id, device_id, load=own)
 
     return _start(lines.writeStream.foreachBatch(append), checkpoint, interval)
 
@@ -85,17 +98,28 @@ def resample_stream(
     delay: str = "1 hour",
     interval: str | None = None,
 ) -> StreamingQuery:
-    """Mean of every metric per site and bucket, emitted when the watermark closes the bucket.
+    """Mean of every metric per site and bucket; :func:`read_resampled` gives the newest state of each.
 
-    Rows later than ``delay`` are dropped. Buckets start on the epoch grid,
-    which is midnight's grid for steps that divide a day.
+    Every micro-batch writes the buckets it touched, the last ones included, so
+    nothing waits for a watermark. Rows later than ``delay`` are dropped and their
+    buckets forgotten. Buckets start on the epoch grid, which is midnight's grid for
+    steps that divide a day.
     """
-    width = f"{rule_micros(rule) // 1_000_000} seconds"
+    width = f"{rule_micros(rule)} microseconds"
     timed = readings.withColumn("_time", F.col(TS).cast("timestamp")).withWatermark("_time", delay)
     buckets = timed.groupBy(SITE, F.window("_time", width)).agg(*[F.avg(m).alias(m) for m in METRICS])
     rows = buckets.select(SITE, F.col("window.start").cast("timestamp_ntz").alias("bucket"), *METRICS)
-    writer = rows.writeStream.outputMode("append").format("parquet").option("path", out_path)
-    return _start(writer, checkpoint, interval)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return _start(rows.writeStream.outputMode("update").foreachBatch(write), checkpoint, interval)
+
+
+def read_resampled(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest state of every bucket that a resampling stream has written."""
+    newest = F.max_by(F.struct(*METRICS), "batch").alias("m")
+    return spark.read.parquet(out_path).groupBy(SITE, "bucket").agg(newest).select(SITE, "bucket", "m.*")
 
 
 def score_stream(
@@ -110,7 +134,9 @@ def score_stream(
 
     The only state is a table with the last 1,439 rows of each site, written
     anew per micro-batch: the size of a batch and the number of sites decide
-    the cost, not the length of the history. Readings must arrive in order.
+    the cost, not the length of the history. A reading older than the newest one
+    of an earlier batch can have no right look-back any more: it is not scored but
+    written to ``{tail_path}/late``.
     """
     spark = readings.sparkSession
     columns = [ID, TS, SITE, *METRICS]
@@ -119,11 +145,18 @@ def score_stream(
         fresh = batch.select(*columns, F.lit(True).alias("_new"))
         if number > 0:
             tail = spark.read.parquet(f"{tail_path}/batch={number - 1}")
+            newest = tail.groupBy(SITE).agg(F.max(F.struct(*ORDER)).alias("_newest"))  # a row per site
+            placed = fresh.join(newest, SITE, "left")
+            is_late = F.coalesce(F.struct(*ORDER) < F.col("_newest"), F.lit(False))
+            placed.where(is_late).select(*columns).write.mode("overwrite").parquet(f"{tail_path}/late/batch={number}")
+            fresh = placed.where(~is_late).drop("_newest")
             fresh = fresh.unionByName(tail.select(*columns, F.lit(False).alias("_new")))
         scored = detector.score_raw_readings(fresh).where("_new")
         result = scored.select(SITE, *ORDER, POWER, "anomaly_score", "is_anomaly")
         result.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
         last_rows(fresh, LOOK_BACK_ROWS).select(*columns).write.mode("overwrite").parquet(f"{tail_path}/batch={number}")
+        # a repeated batch needs the tail before it, no older one
+        remove(spark, f"{tail_path}/batch={number - 2}")
 
     return _start(readings.writeStream.foreachBatch(score), checkpoint, interval)
 
@@ -143,6 +176,7 @@ def replay_stream(
 ) -> StreamingQuery:
     """Synthetic readings at a steady rate, one minute of meter time per row."""
     init_readings(spark, table_path)
+    name = stream_name(spark, checkpoint)
     ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
     if max_rows:
         ticks = ticks.where(F.col("value") < max_rows)
@@ -151,6 +185,6 @@ def replay_stream(
     rows = add_readings(stamped, ID, TS, anomaly_rate, seed).drop("injected")
 
     def append(batch: DataFrame, number: int) -> None:
-        append_readings(batch, table_path, site_id, device_id, load=f"replay-{number}")
+        append_readings(batch, table_path, site_id, device_id, load=f"replay-{name}-{number}")
 
     return _start(rows.writeStream.foreachBatch(append), checkpoint, interval)
