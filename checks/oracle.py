@@ -399,6 +399,7 @@ def oracle_sql() -> dict[str, str]:
     ends = "ends AS (SELECT site_id, min(bucket) AS a, max(bucket) AS b FROM filled GROUP BY site_id)"
     out["join_nearest"] = steady(f"SELECT f.site_id, f.bucket, f.{POWER} FROM filled f WHERE EXISTS (SELECT 1 FROM readings r JOIN limits l ON l.site_id = r.site_id JOIN ends e ON e.site_id = r.site_id WHERE r.{POWER} > p99 AND r.site_id = f.site_id AND f.bucket = least(greatest(time_bucket(INTERVAL '1 hour', r.timestamp + INTERVAL 30 MINUTE), a), b))", key, [POWER], f"{CTE}, {LIMITS}, {FILLED('1 hour', AVGS())}, {ends}")
     out["join_knn"] = steady("SELECT * FROM found", ["query", "neighbour", "rank"], ["distance"], f"{VEC}, {PAIRS}, {nearest(5)}")
+    out["join_knn_hashed"] = "SELECT count(*) AS queries, TRUE AS recall_at_least_95 FROM embeddings"
     out["join_thresh"] = f"WITH {CTE}, {LIMITS} SELECT id, {POWER} > p99 AS is_spike, {POWER} < p01 AND hour(timestamp) BETWEEN 8 AND 22 AS is_dropout FROM readings r JOIN limits l ON l.site_id = r.site_id"
     out["top_gaps"] = steady("SELECT site_id, id, timestamp, step_seconds FROM steps WHERE step_seconds > 60 ORDER BY step_seconds DESC, site_id, timestamp, id LIMIT 10", ["site_id", "id", "timestamp"], ["step_seconds"], f"{CTE}, {STEPS}")
     out["lim_48"] = steady(f"SELECT site_id, strftime(bucket, '%Y-%m-%d %H:%M') AS timestamp, {HU(POWER, 3)} AS power_kw, {HU(VOLT, 1)} AS voltage_v, CAST(least((SELECT count(*) FROM home), 48) AS BIGINT) AS count, (SELECT count(*) FROM home) > 48 AS truncated FROM home ORDER BY bucket LIMIT 48", ["site_id", "timestamp", "count", "truncated"], ["power_kw", "voltage_v"], f"{CTE}, {FILLED('1 hour', AVGS())}, home AS (SELECT * FROM filled WHERE site_id = 'home-01')")

@@ -295,6 +295,14 @@ def _with_gaps(r):
     })
 
 
+def _hashed(spark, sf_dir):
+    """Whether the hashed search finds what it promises."""
+    rows = embeddings(spark, sf_dir)
+    found = neighbours.hashed_nearest_rows(rows, rows, 5, exclude_self=True)
+    recall = neighbours.recall_of(found, neighbours.nearest_rows(rows, rows, 5, exclude_self=True))
+    return rows.agg(F.count(F.lit(1)).alias("queries")).withColumn("recall_at_least_95", F.lit(recall >= 0.95))
+
+
 def _dash(spark, sf_dir, table):
     key = f"dash-{table}"
     tables = reads.dashboard(fixtures.readings(spark, sf_dir), "home-01", "2024-01-05", "2024-01-20", "1h", detector(spark, sf_dir))
@@ -413,6 +421,7 @@ def queries():
     on_session("join_overlay", lambda s, d: joins.overlay(fixtures.readings(s, d), scored_table(s, d)))
     on_readings("join_nearest", _nearest)
     on_session("join_knn", lambda s, d: neighbours.nearest_rows(embeddings(s, d), embeddings(s, d), 5, exclude_self=True))
+    on_session("join_knn_hashed", _hashed)
     on_session("join_lookup", lambda s, d: detector(s, d).score_dataframe(_matrix(fixtures.readings(s, d))).select(ID, "anomaly_score"))
     on_readings("join_thresh", _thresholds)
     on_session("top_anom", lambda s, d: ranking.get_anomalies(scored_table(s, d), 50))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattspan.durable import durable
-from wattspan.models.neighbours import PIVOTS, nearest_rows
+from wattspan.models.neighbours import SEARCHES
 
 NEIGHBOURS = 20
 # Fixed value: keeps a density finite among copies of one row.
@@ -29,9 +29,12 @@ def _factor(found: DataFrame, own: DataFrame, base_density: DataFrame) -> DataFr
     return mean.join(own, "query").select(F.col("query").alias("id"), (F.col("_around") / F.col("density")).alias("lof"))
 
 
-def fit_lof(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
-    """The model (id, features, k_distance, density) and the factor of every training row."""
-    found = durable(nearest_rows(vectors, vectors, k, exclude_self=True, pivots=pivots), "neighbours")
+def fit_lof(vectors: DataFrame, k: int = NEIGHBOURS, method: str = "exact", **options) -> tuple[DataFrame, DataFrame]:
+    """The model (id, features, k_distance, density) and the factor of every training row.
+
+    ``method`` is ``exact`` or ``hashed``; options go to that search.
+    """
+    found = durable(SEARCHES[method](vectors, vectors, k, exclude_self=True, **options), "neighbours")
     k_distance = found.groupBy(F.col("query").alias("id")).agg(F.max("distance").alias("k_distance"))
     density = _density(found, k_distance)
     model = (
@@ -45,12 +48,12 @@ def fit_lof(vectors: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS) -> tu
 
 
 def score_lof(
-    queries: DataFrame, model: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False, pivots: int = PIVOTS
+    queries: DataFrame, model: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False, method: str = "exact", **options
 ) -> DataFrame:
     """Factor of each query among the training rows.
 
     With ``exclude_self`` off, a training row finds itself at distance zero;
     with it on, the result is that of the fit.
     """
-    found = durable(nearest_rows(queries, model, k, exclude_self, pivots), "neighbours")
+    found = durable(SEARCHES[method](queries, model, k, exclude_self, **options), "neighbours")
     return _factor(found, _density(found, model), model)

@@ -5,9 +5,11 @@ pivots a query bounds the distance of its k-th neighbour and, by the triangle
 inequality, skips every cell that cannot hold a nearer row. What is left is a
 join on (cell, block): cells are split into blocks of bounded size on both
 sides, so a crowded cell becomes many tasks, and a task emits only the k best
-rows per query, never all pairs.
+rows per query, never all pairs. Where pivots can skip little, the hashed search
+is the one that scales; which one runs is the caller's choice, never that of the size.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,6 +144,18 @@ def nearest_rows(
     radius, nearest = _cell_limits(cells, len(centres), wanted)
     visits = durable(_visits(queries, centres, radius, nearest, wanted), "visits")
 
+    found = _solve(visits, cells, k, exclude_self, block_rows, seed)
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    by_query = Window.partitionBy("query").orderBy("distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+
+def _solve(visits: DataFrame, cells: DataFrame, k: int, exclude_self: bool, block_rows: int, seed: int) -> DataFrame:
+    """The k best rows of every block a query meets; both sides have ``cell``, ``id`` and
+    ``features``, and crowded cells are split on both sides."""
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
     split = blocks(cells, "base_blocks").join(blocks(visits, "query_blocks"), "cell")
     spread = lambda name, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(name))
@@ -157,11 +171,91 @@ def nearest_rows(
         .withColumn("query_block", spread("query_blocks", seed + 2))
         .withColumn("base_block", every("base_blocks"))
     )
-    found = (
+    return (
         query_side.select(*key, "id", "features")
         .groupBy(*key)
         .cogroup(base_side.select(*key, "id", "features").groupBy(*key))
         .applyInPandas(_block_best(k, exclude_self), FOUND)
     )
-    by_query = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+
+def collision(distance: float, width: float) -> float:
+    """How likely two rows at a distance fall into one step of a Gaussian projection (Datar et al., 2004)."""
+    ratio = width / max(distance, 1e-300)
+    normal = 0.5 * (1 + math.erf(-ratio / math.sqrt(2)))
+    return 1 - 2 * normal - 2 / (math.sqrt(2 * math.pi) * ratio) * (1 - math.exp(-(ratio**2) / 2))
+
+
+def step_width(distance: float, tables: int, hashes: int, recall: float) -> float:
+    """The smallest step with which rows at a distance share a bucket of some table with probability ``recall``."""
+    low, high = distance * 1e-3, distance * 1e6
+    for _ in range(100):
+        middle = math.sqrt(low * high)
+        if 1 - (1 - collision(distance, middle) ** hashes) ** tables < recall:
+            low = middle
+        else:
+            high = middle
+    return high
+
+
+def hashed_nearest_rows(
+    queries: DataFrame,
+    base: DataFrame,
+    k: int,
+    exclude_self: bool = False,
+    tables: int = 12,
+    hashes: int = 4,
+    recall: float = 0.99,
+    sample: int = 4096,
+    block_rows: int = BLOCK_ROWS,
+    seed: int = 42,
+) -> DataFrame:
+    """Like :func:`nearest_rows`, but only rows that share a hashed bucket are compared.
+
+    Each of ``tables`` tables cuts ``hashes`` random projections into steps. The step follows
+    from ``recall`` and from how far the k-th neighbours of a bounded sample are, so
+    the work adapts to the data and not to a switch. A row is carried once per table,
+    whatever the number of rows; data without structure needs wide steps, and the
+    search then compares nearly everything, as any search must.
+    """
+    head = base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("features").collect()
+    if not head:
+        raise ValueError("no base rows")
+    x = np.array([r["features"] for r in head])
+    # the k-th neighbour among n rows is about the (k * share)-th among a share of them
+    share = min(1.0, len(x) / max(base.count(), 1))
+    at = max(1, math.ceil(k * share))
+    probe = x[:256]
+    squared = (probe**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * probe @ x.T
+    far = np.sqrt(np.maximum(np.partition(squared, min(at, len(x) - 1), axis=1)[:, min(at, len(x) - 1)], 0))
+    width = step_width(max(float(np.quantile(far, 0.9)), 1e-9), tables, hashes, recall)
+    draw = np.random.default_rng(seed)
+    planes = draw.standard_normal((x.shape[1], tables * hashes)) / width
+    shifts = draw.random(tables * hashes)
+    odd = draw.integers(1, 2**62, hashes) * 2 + 1
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            steps = np.floor(np.stack(batch["features"].to_numpy()) @ planes + shifts).astype(np.int64)
+            keys = (steps.reshape(len(batch), tables, hashes) * odd).sum(2) * tables + np.arange(tables)
+            for t in range(tables):
+                yield batch[["id", "features"]].assign(cell=keys[:, t])
+
+    schema = "id long, features array<double>, cell long"
+    cells = durable(base.select("id", "features").mapInPandas(place, schema), "hashed")
+    visits = durable(queries.select("id", "features").mapInPandas(place, schema), "visits")
+    found = _solve(visits, cells, k, exclude_self, block_rows, seed)
+    return _best(found.dropDuplicates(["query", "neighbour"]), k)
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> float:
+    """The share of exact neighbours (or rows as near) that a search has found."""
+    limit = exact.groupBy("query").agg(F.max("distance").alias("limit"), F.count(F.lit(1)).alias("n"))
+    hits = limit.join(found.select("query", "distance"), "query", "left")
+    counted = hits.groupBy("query", "n").agg(F.count_if(F.col("distance") <= F.col("limit") * (1 + 1e-12)).alias("hit"))
+    return counted.agg(F.sum(F.least("hit", "n")) / F.sum("n")).first()[0]
+
+
+SEARCHES = {"exact": nearest_rows, "hashed": hashed_nearest_rows}

@@ -75,12 +75,13 @@ def train_models(
     exclude_self: bool = True,
     trees: int = TREES,
     seed: int = 42,
+    neighbours: str = "exact",
 ) -> dict:
     """Train, evaluate and register an Isolation Forest and, to compare, a LOF model.
 
     Returns per model its version, its statistics (one row) and its scored
     training rows. ``exclude_self=False`` evaluates LOF with each training row
-    as its own neighbour.
+    as its own neighbour. ``neighbours`` is the search that LOF is fitted with.
     """
     spark = readings.sparkSession
     matrix = load_training_data(readings, site_id, sample_frac)
@@ -102,12 +103,12 @@ def train_models(
         k = min(NEIGHBOURS, n - 1)
         keyed = durable(vectors.withColumn("_key", F.monotonically_increasing_id()), "keyed")
         plain = keyed.select(F.col("_key").alias("id"), "features")
-        model, factor = fit_lof(plain, k)
+        model, factor = fit_lof(plain, k, neighbours)
         fitted = durable(factor, "factors")
         offset_rows = fitted.select((-F.col("lof")).alias("raw_score"))
         offset = score_offset(offset_rows, contamination)
         if not exclude_self:
-            fitted = durable(score_lof(plain, model, k), "factors")
+            fitted = durable(score_lof(plain, model, k, method=neighbours), "factors")
         raw = keyed.drop("features").join(fitted.select(F.col("id").alias("_key"), (-F.col("lof")).alias("raw_score")), "_key")
         raw = raw.drop("_key")
         results["lof"] = _finish(
