@@ -286,6 +286,13 @@ def _if_score(spark, sf_dir):
     return _matrix(fixtures.readings(spark, sf_dir)).select(*KEYS, score(vector).alias("raw_score"))
 
 
+def prepare(spark, sf_dir):
+    """Make what several queries share, outside any clock."""
+    raw_folder(spark, sf_dir)
+    scored_table(spark, sf_dir)
+    _vectors(spark, sf_dir)
+
+
 def _with_gaps(r):
     """Readings with missing metrics, also written as NaN."""
     gone = F.lit(None).cast("double")

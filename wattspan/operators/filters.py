@@ -35,7 +35,7 @@ def last_hours_by_clock(df: DataFrame, hours: int = 24, keys=(SITE,)) -> DataFra
     """The readings of the last ``hours`` of clock time before each site's newest one."""
     newest = df.groupBy(*keys).agg(F.max(TS).alias("_newest"))
     span = F.lit(hours * 3600 * 1_000_000)
-    return df.join(newest, list(keys)).where(micros(TS) > micros("_newest") - span).drop("_newest")
+    return attach(df, newest, keys).where(micros(TS) > micros("_newest") - span).drop("_newest")
 
 
 def by_preset(df: DataFrame, preset: str = "7d", keys=(SITE,)) -> DataFrame:
@@ -46,7 +46,7 @@ def by_preset(df: DataFrame, preset: str = "7d", keys=(SITE,)) -> DataFrame:
     limits = ends.select(*keys, midnight(start).alias("_from"), (midnight("_last")).alias("_to"))
     day_us = F.lit(DAY_SECONDS * 1_000_000)
     chosen = (F.col(TS) >= F.col("_from")) & (micros(TS) < micros("_to") + day_us)
-    return df.join(limits, list(keys)).where(chosen).drop("_from", "_to")
+    return attach(df, limits, keys).where(chosen).drop("_from", "_to")
 
 
 def input_violations() -> Column:
@@ -106,7 +106,7 @@ def sample_span(df: DataFrame, skip_days: int = 30, days: int = 7, keys=(SITE,))
     since = micros(TS) - micros("_first")
     day = DAY_SECONDS * 1_000_000
     wanted = since.between(F.lit(skip_days * day), F.lit((skip_days + days) * day))
-    return df.join(first, list(keys)).where(wanted).drop("_first")
+    return attach(df, first, keys).where(wanted).drop("_first")
 
 
 def sample_week(df: DataFrame, skip_days: int = 30, keys=(SITE,)) -> DataFrame:

@@ -147,9 +147,10 @@ def monthly_box(df: DataFrame, keys=(SITE,)) -> DataFrame:
     by = [*keys, "month"]
     months = df.withColumn("month", F.month(TS)).select(*by, POWER)
     box = exact_quantiles(months, POWER, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by).drop("n")
+    box = durable(box, "box")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(POWER).between(F.col("q1") - reach, F.col("q3") + reach)
-    whiskers = attach(months, box, by).where(inside).groupBy(*by)
+    whiskers = months.join(box, by).where(inside).groupBy(*by)
     return box.join(
         whiskers.agg(F.min(POWER).alias("whisker_low"), F.max(POWER).alias("whisker_high")), by
     )
@@ -164,7 +165,8 @@ def histogram(df: DataFrame, columns=tuple(METRICS), bins: int = 80, keys=(SITE,
     low = F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo"))
     high = F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi"))
     limits = ends.select(*by, low.alias("lo"), high.alias("hi"))
-    limits = limits.withColumn("width", (F.col("hi") - F.col("lo")) / F.lit(bins))
+    # a row per key and column, written first so that the planner knows its size
+    limits = durable(limits.withColumn("width", (F.col("hi") - F.col("lo")) / F.lit(bins)), "ends")
     place = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
     counts = values.join(limits, by).groupBy(*by, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

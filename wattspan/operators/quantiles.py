@@ -15,9 +15,13 @@ BINS = 256
 
 
 def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
-    """Add the columns of a per-key table; with no keys ``stats`` is a single row."""
+    """Add the columns of a per-key table; with no keys ``stats`` is a single row.
+
+    The table is written first: its size is known then, and the planner broadcasts it by its
+    own check instead of shuffling all rows by a key that may hold a third of them.
+    """
     if keys:
-        return df.join(stats, list(keys))
+        return df.join(durable(stats, "stats"), list(keys))
     row = stats.select(F.struct(*stats.columns)).scalar()
     return df.withColumns({c: row.getField(c) for c in stats.columns})
 
@@ -48,7 +52,7 @@ def exact_quantiles(df: DataFrame, value, probabilities: dict[str, float], keys=
     )
     ranks = _ranks(probabilities.values(), F.col("_total"))
     wanted = F.array_distinct(F.array(*[r for low, high, _ in ranks for r in (low, high)]))
-    binned = attach(counts, cuts, keys).withColumns(
+    binned = (counts.join(cuts, keys) if keys else attach(counts, cuts, ())).withColumns(
         {"_bin": F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))), "_wanted": wanted}
     )
     ahead = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattspan.durable import durable
 from wattspan.functions.clock import DAY_US, calendar_unit, floor_to, from_micros, micros, midnight, rule_micros
 from wattspan.schema import METRICS, POWER, SITE, SUB_METERS, TS, VOLTAGE
 
@@ -29,7 +30,7 @@ def with_bucket(df: DataFrame, rule: str, keys=(SITE,)) -> DataFrame:
     if DAY_US % step == 0:
         return df.withColumn("bucket", floor_to(TS, step))
     first = df.groupBy(*keys).agg(midnight(F.min(TS)).alias("_origin"))
-    return df.join(first, list(keys)).withColumn("bucket", floor_to(TS, step, "_origin")).drop("_origin")
+    return df.join(durable(first, "origins"), list(keys)).withColumn("bucket", floor_to(TS, step, "_origin")).drop("_origin")
 
 
 def resample(df: DataFrame, rule: str, aggregates, keys=(SITE,)) -> DataFrame:
