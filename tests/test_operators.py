@@ -155,3 +155,12 @@ def test_hours_are_rows(readings):
     assert filters.last_hours(filters.by_site(readings), 2).count() == 120
     with pytest.raises(ValueError):
         filters.last_hours(readings, 200)
+
+
+def test_ranks_of_one_value_cut_into_slots(spark):
+    from wattspan.operators.ranking import ranked_changes
+
+    rows = spark.range(1000).selectExpr("id * 7 AS id", "'s' AS site_id", "CASE WHEN id % 3 = 0 THEN 0.0 ELSE -(id % 10) / 8 END AS d")
+    got = ranked_changes(rows, "d", slot_rows=20).orderBy("rank").collect()
+    expected = sorted((abs(r["d"]), r["id"]) for r in rows.collect())
+    assert [(r["abs_change"], r["id"]) for r in got] == expected and [r["rank"] for r in got] == list(range(1, 1001))
