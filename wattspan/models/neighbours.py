@@ -24,6 +24,7 @@ BLOCK_ROWS = 2048
 # Room for rounding when squared distances come from a matrix product.
 TOLERANCE = 1e-9
 PAIRS_AT_ONCE = 100_000
+ROWS_AT_ONCE = 512
 
 FOUND = "query long, neighbour long, distance double"
 
@@ -73,8 +74,10 @@ def _visits(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, nearest:
                 continue
             x = np.stack(batch["features"].to_numpy())
             d = _pivot_distances(x, pivots)
-            reach = np.concatenate([d[:, [j]] + nearest[j][None, :] for j in range(len(pivots))], axis=1)
-            limit = np.partition(reach, k - 1, axis=1)[:, k - 1]
+            limit = np.empty(len(d))
+            for at in range(0, len(d), ROWS_AT_ONCE):  # each row meets pivots x k distances
+                reach = (d[at : at + ROWS_AT_ONCE, :, None] + nearest[None]).reshape(-1, nearest.size)
+                limit[at : at + ROWS_AT_ONCE] = np.partition(reach, k - 1, axis=1)[:, k - 1]
             slack = 1e-6 * (1.0 + d.max(1))
             limit = np.where(np.isfinite(limit), limit, np.inf) + slack
             own = d.argmin(1)
