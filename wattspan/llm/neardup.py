@@ -10,8 +10,9 @@ probability of at most ``miss``. Candidates are confirmed on whole shingle sets.
 Documents with equal sets form one class, and only class representatives are
 joined. Of a key's classes each is first compared with the smallest one; after the
 components of these links are known, only pairs of classes of one key that lie in
-different components are left, and all of those are compared, so no component is
-lost and a group of copies never meets pair by pair.
+different components are left. Their members get a longer signature of one bit per hash
+function, and all pairs within its distance threshold are compared as well; a linked
+pair lies beyond it with a probability of less than one in a million.
 """
 
 import math
@@ -26,6 +27,8 @@ from wattspan.llm.components import connected_components
 from wattspan.llm.textarrays import longs_as_text, mix, parts, to_bytes, windows, word_hashes
 
 SYMBOLS, ERRORS = 5, 1
+#: 64-bit numbers of a long signature, and how many standard deviations are allowed for
+LONGS, DEVIATIONS = 32, 5.0
 
 
 def chunk_count(similarity: float, miss: float = 1e-6) -> int:
@@ -82,6 +85,7 @@ def _signatures(key: str, text: str, width: int, symbols: int):
                     {
                         key: rows[key].iloc[a:b].to_numpy(),
                         "n_shingles": size,
+                        "h": rows["h"].iloc[a:b].to_numpy(),
                         "name": [x.tobytes() if n else None for x, n in zip(name, size, strict=True)],
                         "signature": [x.tobytes() if n else None for x, n in zip(signature, size, strict=True)],
                     }
@@ -108,6 +112,26 @@ def _keys(chunks: int):
     return run
 
 
+def bit_threshold(similarity: float) -> int:
+    """How many bits of two long signatures may differ."""
+    bits, differ = 64 * LONGS, (1 - similarity) / 2
+    return math.ceil(bits * differ + DEVIATIONS * math.sqrt(bits * differ * (1 - differ)))
+
+
+def _bits(batches):
+    """Long signatures: the lowest bit of the scrambled least value of each hash function."""
+    for rows in batches:
+        for a, b in parts(rows["items"].tolist()):
+            sets = [np.frombuffer(x, np.uint64) for x in rows["items"].iloc[a:b]]
+            values, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+            out = np.empty((b - a, 64 * LONGS), np.uint8)
+            for i in range(64 * LONGS):
+                factor = mix(np.array([i], np.uint64), 31)[0] | np.uint64(1)
+                out[:, i] = mix(np.minimum.reduceat(values * factor, at), 41) & np.uint64(1)
+            packed = np.packbits(out, axis=1).view("<i8")
+            yield pd.DataFrame({"id": rows["id"].iloc[a:b].to_numpy()} | {f"s{i}": packed[:, i] for i in range(LONGS)})
+
+
 def _sets(text: str, width: int):
     def run(batches):
         for rows in batches:
@@ -148,8 +172,8 @@ def near_duplicates(
     """
     chunks = chunk_count(percent / 100, miss)
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    signed = longs_as_text(docs).mapInPandas(
-        _signatures(key, text, width, chunks * SYMBOLS), f"`{key}` string, n_shingles long, name binary, signature binary"
+    signed = longs_as_text(docs).withColumn("h", F.xxhash64(text)).mapInPandas(
+        _signatures(key, text, width, chunks * SYMBOLS), f"`{key}` string, n_shingles long, h long, name binary, signature binary"
     )
     signed = durable(signed.withColumn(key, F.col(key).cast("long")), "signed")
     some = signed.where(f"n_shingles > 0 AND `{key}` IS NOT NULL")
@@ -165,13 +189,16 @@ def near_duplicates(
     like = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     star = met.select("key", F.col("id").alias("b"), F.col("n").alias("nb")).join(first, "key").where(f"a <> b AND {like}")
     star = durable(star.select("a", "b").distinct(), "star")
-    texts = docs.withColumnRenamed(key, "id")
+    # whole sets of the classes that share a key with another; texts are dealt out this once.
+    # Rows of one key with other texts are left to the class that stands for them.
+    wanted = met.select("id").distinct().join(classes.select("id", "name"), "id")
+    wanted = wanted.join(some.select(F.col(key).alias("id"), "name", "h"), ["id", "name"]).select("id", "h").distinct()
+    texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), text)
+    # once per text, where the join has put its rows; later joins read a plain table, whose hot keys can be split
+    texts = texts.join(wanted, ["id", "h"]).dropDuplicates(["id", "h"])
+    sets = durable(texts.mapInPandas(_sets(text, width), "id long, items binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        # one text per class: repeated rows of a key would otherwise meet their pairs again
-        sets = texts.join(wanted, "id").mapInPandas(_sets(text, width), "id long, items binary")
-        sets = durable(sets.dropDuplicates(["id"]), "sets")
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("right")), "b")
         both = both.join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
         return durable(both.mapInPandas(_confirm(percent), "a long, b long"), "links")
@@ -182,10 +209,21 @@ def near_duplicates(
     held = met.join(parts_, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     held = durable(held, "held")
     open_ = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    held = held.join(open_, "key")
-    left = held.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = held.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = left.join(right, "key").where(f"a < b AND ca <> cb AND {like}").select("a", "b").distinct()
+    held = durable(held.join(open_, "key"), "open")
+    # a class has as many keys as there are (chunk, symbol) pairs at most
+    lists = held.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    bits = sets.join(held.select("id").distinct(), "id", "left_semi")
+    bits = bits.mapInPandas(_bits, ", ".join(["id long", *(f"s{i} long" for i in range(LONGS))]))
+    bits = durable(bits.dropDuplicates(["id"]), "bits")
+    held = held.join(lists, "id").join(bits, "id")
+    names = ["id", "n", "component", "keys", *(f"s{i}" for i in range(LONGS))]
+    left = held.select("key", *(F.col(c).alias("a" + c) for c in names))
+    right = held.select("key", *(F.col(c).alias("b" + c) for c in names))
+    apart = " + ".join(f"bit_count(as{i} ^ bs{i})" for i in range(LONGS))
+    near = f"aid < bid AND acomponent <> bcomponent AND {like.replace('na', 'an').replace('nb', 'bn')} AND {apart} <= {bit_threshold(percent / 100)}"
+    # a pair is met in the first of its common keys
+    near += " AND array_min(array_intersect(akeys, bkeys)) = key"
+    rest = left.join(right, "key").where(near).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
     rest = durable(rest.join(star, ["a", "b"], "left_anti"), "rest")
     more = confirmed(rest)
     if not more.isEmpty():
