@@ -81,7 +81,7 @@ def test_matrix_columns_and_dropped_rows(readings):
     assert len(names) == 42 and features.get_numeric_features(matrix) == names
     kept = matrix.toPandas().sort_values("id").reset_index(drop=True)
     slow = full.dropna().sort_values("id").reset_index(drop=True)
-    assert len(kept) == 141
+    assert len(kept) == 143
     pd.testing.assert_frame_equal(kept, slow)
     assert full["metered_ratio"].min() >= 0 and full["metered_ratio"].max() <= 1.5
     assert (full["sub_1_share"] + full["sub_2_share"] + full["sub_3_share"]).max() < 1 + 1e-9
