@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.textarrays import Words, longs_as_text, mix, parts, to_bytes
+from wattspan.llm.textarrays import Words, longs_as_text, mix, text_slices, to_bytes
 
 SPAN, BLOCK, BITS = 64, 64, 18
 LETTER = regex.compile(r"\p{L}")
@@ -223,12 +223,11 @@ def identify_languages(
 
     def run(batches):
         for rows in batches:
-            texts = to_bytes(rows[text], fold=True)
-            for a, b in parts(texts, 1 << 21):
+            for a, b, texts in text_slices(rows[text], fold=True):
                 spoken = [isinstance(t, str) and LETTER.search(t) is not None for t in rows[text].iloc[a:b]]
                 found, score = [UNDETERMINED] * (b - a), np.zeros(b - a)
                 if learned:
-                    scores, first = evidence(texts[a:b], weights, lexicon)
+                    scores, first = evidence(texts, weights, lexicon)
                     chance = word_posteriors(scores, first, transitions)
                     total = np.diff(np.vstack([np.zeros(len(names)), np.cumsum(chance, axis=0)])[first], axis=0)
                     best = total.argmax(1)

@@ -101,6 +101,12 @@ def to_bytes(texts, fold: bool = False) -> list[bytes]:
     return [t.lower() for t in made] if fold else made
 
 
+def text_slices(column, fold: bool = False, size: int = 1 << 20, most: int = 1 << 30) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Consecutive index ranges of a text column and their texts as bytes, a slice at a time."""
+    for a, b in parts([t if isinstance(t, str) else "" for t in column], size, most):
+        yield a, b, to_bytes(column.iloc[a:b], fold)
+
+
 def longs_as_text(df: DataFrame) -> DataFrame:
     """64-bit columns as text: pandas holds a long column with nulls as doubles, which lose digits."""
     return df.select([F.col(f"`{c}`").cast("string").alias(c) if t == "bigint" else F.col(f"`{c}`") for c, t in df.dtypes])
