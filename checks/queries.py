@@ -450,7 +450,7 @@ def queries():
     on_session("mod_if_score", _if_score)
     on_session("mod_lof_fit", lambda s, d: fit_lof(embeddings(s, d))[1])
     on_session("mod_lof_score", lambda s, d: score_lof(embeddings(s, d), fit_lof(embeddings(s, d))[0]))
-    on_session("mod_eval", lambda s, d: score_statistics(scored_table(s, d).where(F.col(SITE) != "home-01"), "isolation_forest"))
+    on_session("mod_eval", lambda s, d: score_statistics(scored_table(s, d), "isolation_forest", [SITE]))
     on_session("mod_compare", _compared)
     on_session("mod_train", lambda s, d: training.train_models(fixtures.readings(s, d), scratch_path(s, "models"), site_id=None)["isolation_forest"]["scored"])
     on_readings("mod_registry", _registry)

@@ -20,9 +20,9 @@ def score_offset(raw: DataFrame, contamination: float, column: str = "raw_score"
     return exact_quantiles(raw, column, {"offset": contamination}).first()["offset"]
 
 
-def score_statistics(scored: DataFrame, model_name: str) -> DataFrame:
-    """Mean, population deviation, extremes and percentiles of the score, and the flagged share."""
-    basic = scored.agg(
+def score_statistics(scored: DataFrame, model_name: str, keys=()) -> DataFrame:
+    """Mean, population deviation, extremes and percentiles of the score, and the flagged share, per key."""
+    basic = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_total"),
         F.count_if("is_anomaly").alias("n_anomalies"),
         F.avg("anomaly_score").alias("mean"),
@@ -30,9 +30,9 @@ def score_statistics(scored: DataFrame, model_name: str) -> DataFrame:
         F.min("anomaly_score").alias("min"),
         F.max("anomaly_score").alias("max"),
     )
-    marks = exact_quantiles(scored, "anomaly_score", SCORE_MARKS).drop("n")
+    marks = exact_quantiles(scored, "anomaly_score", SCORE_MARKS, keys).drop("n")
     rate = half_up(F.col("n_anomalies") / F.nullif("n_total", F.lit(0)), 4)
-    return attach(basic, marks, ()).select(F.lit(model_name).alias("model_name"), "*", rate.alias("anomaly_rate"))
+    return attach(basic, marks, keys).select(F.lit(model_name).alias("model_name"), "*", rate.alias("anomaly_rate"))
 
 
 def batch_totals(scored: DataFrame, keys=()) -> DataFrame:
