@@ -80,7 +80,7 @@ def reading_folder(spark, sf_dir):
 def trained(spark, sf_dir):
     def make():
         path = scratch_path(spark, "models")
-        return path, training.train_models(fixtures.readings(spark, sf_dir), path)
+        return path, training.train_models(fixtures.readings(spark, sf_dir), path, site_id=None)
 
     return once(spark, sf_dir, "model", make)
 
@@ -317,9 +317,9 @@ def _dash(spark, sf_dir, table):
 
 
 def _compared(spark, sf_dir):
-    """Both models trained on one site, side by side."""
+    """Both models trained on all sites, side by side."""
     path = scratch_path(spark, "compared")
-    return training.compare_models(training.train_models(fixtures.readings(spark, sf_dir), path, compare=True))
+    return training.compare_models(training.train_models(fixtures.readings(spark, sf_dir), path, site_id=None, compare=True))
 
 
 def queries():
@@ -415,7 +415,7 @@ def queries():
     on_readings("agg_box", profile.monthly_box)
     on_readings("agg_hist", profile.histogram)
     on_readings("agg_corr", profile.correlation_matrix)
-    on_readings("agg_corrwith", lambda r: profile.strongest_correlations(_matrix(filters.by_site(r)), features.feature_names()))
+    on_readings("agg_corrwith", lambda r: profile.strongest_correlations(_matrix(r), features.feature_names(), keys=(SITE,)))
     on_readings("agg_corrpairs", lambda r: profile.redundant_pairs(_matrix(r), features.feature_names()))
     on_readings("agg_shares", profile.energy_shares)
     on_readings("agg_quant", _quantiles)

@@ -4,7 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -277,13 +277,17 @@ def pair_correlations(df: DataFrame, columns, keys=(SITE,)) -> DataFrame:
     )
 
 
-def strongest_correlations(df: DataFrame, columns, target: str = POWER, n: int = 20) -> DataFrame:
-    """The ``n`` columns of one site that correlate most with ``target``, by absolute value."""
-    pairs = pair_correlations(df, columns, ()).where((F.col("feature_1") == target) | (F.col("feature_2") == target))
+def strongest_correlations(df: DataFrame, columns, target: str = POWER, n: int = 20, keys=(SITE,)) -> DataFrame:
+    """Per key, the ``n`` columns that correlate most with ``target``, by absolute value."""
+    keys = list(keys)
+    pairs = pair_correlations(df, columns, keys).where((F.col("feature_1") == target) | (F.col("feature_2") == target))
     other = F.when(F.col("feature_1") == target, F.col("feature_2")).otherwise(F.col("feature_1"))
-    found = pairs.select(other.alias("feature"), F.abs("correlation").alias("abs_correlation"))
-    itself = df.sparkSession.range(1).select(F.lit(target).alias("feature"), F.lit(1.0).alias("abs_correlation"))
-    return found.unionByName(itself).orderBy(F.col("abs_correlation").desc(), "feature").limit(n)
+    found = pairs.select(*keys, other.alias("feature"), F.abs("correlation").alias("abs_correlation"))
+    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    itself = groups.select(*keys, F.lit(target).alias("feature"), F.lit(1.0).alias("abs_correlation"))
+    # a row per column and key
+    best = Window.partitionBy(*keys).orderBy(F.col("abs_correlation").desc(), "feature")
+    return found.unionByName(itself).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= n).drop("_rank")
 
 
 def redundant_pairs(df: DataFrame, columns, limit: float = 0.95, keys=(SITE,)) -> DataFrame:
