@@ -66,3 +66,46 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 20
 """
+
+SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), r AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-z\x{C0}-\x{FF}]+')) AS w
+    FROM documents WHERE text IS NOT NULL
+), g AS (
+    SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS s, w, count(*) AS n FROM r WHERE length(w) >= 5 GROUP BY doc_id, w
+), b AS (
+    SELECT w, n, flatten(list_transform(string_split(s, ''), lambda c:
+        CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, (unicode(c) - 64)::BIGINT] END)) AS bytes
+    FROM g
+), h AS (
+    SELECT w, n, 4294967295 - list_reduce(list_prepend(4294967295::BIGINT, bytes),
+        lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])) AS h
+    FROM b, crc
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM h
+    ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), less AS (
+    SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(n) AS top, arg_min(near, (-n, near)) AS near FROM near GROUP BY word
+), f AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN near END AS form,
+           CASE WHEN top >= 2 * n THEN top END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), walk AS (
+    SELECT word, word AS here, form AS ahead FROM f
+    UNION ALL SELECT k.word, k.ahead, f.form FROM walk k JOIN f ON f.word = k.ahead
+)
+SELECT f.word, form, here AS root, n::BIGINT AS n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM f JOIN walk k ON k.word = f.word AND k.ahead IS NULL
+"""

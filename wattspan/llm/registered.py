@@ -16,6 +16,7 @@ from wattspan.llm.quality import grade_documents, graded
 from wattspan.llm.repeats import remove_repeats
 from wattspan.llm.topk import top_k
 from wattspan.llm.toxicity import score_toxicity
+from wattspan.llm.variants import group_variants, runs, word_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +91,21 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", ~F.col("train")).drop("train")
 
 
+def misspelt(docs: DataFrame) -> DataFrame:
+    """Every run of at least five letters of all texts, one row each; about one in 97, by document and
+    run, has lost a code point. A null doc_id counts as an empty one."""
+    found = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs(F.col("text"))).alias("run"))
+    found = found.where(F.char_length("run") >= 5)
+    h = F.crc32(F.concat("id", F.lit(":"), "run"))
+    at = (h % F.char_length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    return found.select(F.when(h % 97 == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(word_counts(misspelt(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
