@@ -13,6 +13,7 @@ from wattspan.llm.mixing import mixing_scores
 from wattspan.llm.neardup import near_duplicates
 from wattspan.llm.packing import pack, token_pieces
 from wattspan.llm.quality import grade_documents, graded
+from wattspan.llm.repair import repair_report
 from wattspan.llm.repeats import remove_repeats
 from wattspan.llm.topk import top_k
 from wattspan.llm.toxicity import score_toxicity
@@ -106,6 +107,23 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(word_counts(misspelt(table(spark, sf_dir, "documents"))))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with one turn in four dropped, emptied, without its sentence ends, repeated or given to
+    the user, by conversation and turn; nulls count as one space."""
+    space = F.lit(" ")
+    told = [F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn", "role", "text")]
+    kind = F.crc32(F.concat(told[0], F.lit(":"), told[1])) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(told[3], ".!?", "")).otherwise(told[3])
+    role = F.when(kind == 4, "user").otherwise(told[2])
+    copies = F.explode(F.when(kind == 0, F.array().cast("array<int>")).when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
