@@ -12,6 +12,7 @@ from wattspan.llm.langid import identify_languages
 from wattspan.llm.mixing import mixing_scores
 from wattspan.llm.neardup import near_duplicates
 from wattspan.llm.packing import pack, token_pieces
+from wattspan.llm.private import span_report
 from wattspan.llm.quality import grade_documents, graded
 from wattspan.llm.repair import repair_report
 from wattspan.llm.repeats import remove_repeats
@@ -107,6 +108,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(word_counts(misspelt(table(spark, sf_dir, "documents"))))
 
 
+def op12_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(table(spark, sf_dir, "documents"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with one turn in four dropped, emptied, without its sentence ends, repeated or given to
     the user, by conversation and turn; nulls count as one space."""
