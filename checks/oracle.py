@@ -381,8 +381,9 @@ def oracle_sql() -> dict[str, str]:
     out["agg_hist"] = steady("SELECT e.site_id, e.metric, b.bin, lo + b.bin * width AS left_edge, coalesce(n, 0) AS n FROM ends e CROSS JOIN (SELECT unnest(range(80)) AS bin) b LEFT JOIN counted c ON c.site_id = e.site_id AND c.metric = e.metric AND c.bin = b.bin", ["site_id", "metric", "bin", "n"], ["left_edge"], f"{CTE}, {LONG}, {hist}")
     corr = " UNION ALL ".join(f"SELECT site_id, '{a}' AS feature_1, '{b}' AS feature_2, {'1.0::DOUBLE' if a == b else f'corr({a}, {b})'} AS correlation FROM readings GROUP BY site_id" for a in METRICS for b in METRICS)
     out["agg_corr"] = steady(corr, ["site_id", "feature_1", "feature_2"], ["correlation"])
-    withs = " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, {POWER})) AS abs_correlation FROM home" for c in FEATURES)
-    out["agg_corrwith"] = steady(f"SELECT * FROM (SELECT * FROM ({withs}) a WHERE abs_correlation IS NOT NULL AND NOT isnan(abs_correlation) ORDER BY abs_correlation DESC, feature LIMIT 20) b", ["feature"], ["abs_correlation"], f"{CTE_MATRIX}, home AS (SELECT * FROM matrix WHERE site_id = 'home-01')")
+    withs = " UNION ALL ".join(f"SELECT site_id, '{c}' AS feature, abs(corr({c}, {POWER})) AS abs_correlation FROM matrix GROUP BY site_id" for c in FEATURES)
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY abs_correlation DESC, feature) AS place FROM ({withs}) a WHERE abs_correlation IS NOT NULL AND NOT isnan(abs_correlation)"
+    out["agg_corrwith"] = steady(f"SELECT * FROM ({ranked}) b WHERE place <= 20", ["site_id", "feature"], ["abs_correlation"], CTE_MATRIX)
     pair_cols = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
     one = ", ".join(f"abs(corr({a}, {b})) AS c{i}" for i, (a, b) in enumerate(pair_cols))
     listed = ", ".join(f"{{'feature_1': '{a}', 'feature_2': '{b}', 'correlation': c{i}}}" for i, (a, b) in enumerate(pair_cols))
@@ -444,7 +445,8 @@ def oracle_sql() -> dict[str, str]:
     statistics = f"SELECT 'isolation_forest' AS model_name, count(*) AS n_total, count(*) FILTER (is_anomaly) AS n_anomalies, avg(anomaly_score) AS mean, stddev_pop(anomaly_score) AS std, min(anomaly_score) AS min, max(anomaly_score) AS max, quantile_cont(anomaly_score, 0.01) AS p01, quantile_cont(anomaly_score, 0.05) AS p05, quantile_cont(anomaly_score, 0.95) AS p95, quantile_cont(anomaly_score, 0.99) AS p99, {HU('count(*) FILTER (is_anomaly) / count(*)::DOUBLE', 4)} AS anomaly_rate FROM scored"
     stats = ["model_name", "n_total", "n_anomalies"], ["mean", "std", "min", "max", "p01", "p05", "p95", "p99", "anomaly_rate"]
     out["agg_scores"] = steady(statistics, *stats, scored)
-    out["mod_eval"] = steady(f"{statistics} WHERE site_id <> 'home-01'", *stats, scored)
+    per_site = statistics.replace("SELECT ", "SELECT site_id, ", 1) + " GROUP BY site_id"
+    out["mod_eval"] = steady(per_site, ["site_id", *stats[0]], stats[1], scored)
     totals = f"SELECT count(*) AS total, count(*) FILTER (is_anomaly) AS anomaly_count, {HU('count(*) FILTER (is_anomaly) / count(*)::DOUBLE', 4)} AS anomaly_rate, {HU('count(*) FILTER (is_anomaly) / count(*)::DOUBLE * 100', 2)} AS anomaly_pct"
     out["agg_batch"] = steady(f"{totals} FROM scored", ["total", "anomaly_count"], ["anomaly_rate", "anomaly_pct"], scored)
     out["mod_score_batch"] = steady(f"{totals}, site_id FROM scored GROUP BY site_id", ["site_id", "total", "anomaly_count"], ["anomaly_rate", "anomaly_pct"], scored)
