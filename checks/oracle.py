@@ -399,6 +399,11 @@ def oracle_sql() -> dict[str, str]:
     # joins and ranking
     ends = "ends AS (SELECT site_id, min(bucket) AS a, max(bucket) AS b FROM filled GROUP BY site_id)"
     out["join_nearest"] = steady(f"SELECT f.site_id, f.bucket, f.{POWER} FROM filled f WHERE EXISTS (SELECT 1 FROM readings r JOIN limits l ON l.site_id = r.site_id JOIN ends e ON e.site_id = r.site_id WHERE r.{POWER} > p99 AND r.site_id = f.site_id AND f.bucket = least(greatest(time_bucket(INTERVAL '1 hour', r.timestamp + INTERVAL 30 MINUTE), a), b))", key, [POWER], f"{CTE}, {LIMITS}, {FILLED('1 hour', AVGS())}, {ends}")
+    far = f"t AS (SELECT DISTINCT site_id, timestamp AS ts FROM readings WHERE {VOLT} < 222 OR {VOLT} > 238)"
+    ends = "(SELECT max(ts) FROM t WHERE t.site_id = e.site_id AND ts <= e.timestamp) AS a, (SELECT min(ts) FROM t WHERE t.site_id = e.site_id AND ts >= e.timestamp) AS b"
+    near = f"n AS (SELECT e.site_id, e.id, e.timestamp, {ends} FROM readings e JOIN limits l ON l.site_id = e.site_id WHERE e.{POWER} > p99)"
+    out["join_nearest_irregular"] = f"WITH {CTE}, {LIMITS}, {far}, {near} SELECT site_id, id, timestamp, CASE WHEN a IS NULL OR b - timestamp <= timestamp - a THEN b ELSE a END AS nearest FROM n"
+    out["agg_quant_sketch"] = f"WITH {CTE} SELECT site_id, unnest(['p01', 'p25', 'p50', 'p75', 'p99']) AS mark, n, TRUE AS within_bound FROM (SELECT site_id, count(*) AS n FROM readings WHERE CAST(timestamp AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-19' GROUP BY site_id) d"
     out["join_knn"] = steady("SELECT * FROM found", ["query", "neighbour", "rank"], ["distance"], f"{VEC}, {PAIRS}, {nearest(5)}")
     out["join_knn_hashed"] = "SELECT count(*) AS queries, TRUE AS recall_at_least_95 FROM embeddings"
     out["join_thresh"] = f"WITH {CTE}, {LIMITS} SELECT id, {POWER} > p99 AS is_spike, {POWER} < p01 AND hour(timestamp) BETWEEN 8 AND 22 AS is_dropout FROM readings r JOIN limits l ON l.site_id = r.site_id"

@@ -25,6 +25,7 @@ from wattspan.streaming import live
 KEYS = ["id", "timestamp", "site_id", "device_id"]
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 # a range with readings before and after it
+SKETCHED_DAYS = "2024-01-08", "2024-01-19"
 CUT_START, CUT_END = "2024-01-08 06:00:00", "2024-01-19 18:30:00"
 _made: dict = {}
 
@@ -196,6 +197,28 @@ def _nearest(r):
     return joins.nearest_buckets(filters.spikes(r), series, "1h").select(SITE, "bucket", POWER)
 
 
+def _nearest_irregular(r):
+    """The nearest voltage far from nominal to every power spike."""
+    far = r.where((F.col(VOLTAGE) < 222) | (F.col(VOLTAGE) > 238))
+    return joins.nearest_targets(filters.spikes(r).select(SITE, ID, TS), far)
+
+
+def _sketched(r):
+    """Quantiles of a range of days from stored sketches, and whether their ranks are as near as promised."""
+    marks = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+    sketches = durable(quantiles.daily_sketches(r, POWER), "sketches")
+    found = quantiles.sketched_quantiles(sketches, marks, *SKETCHED_DAYS)
+    long = found.select(SITE, "n", F.inline(F.array(*[F.struct(F.lit(m).alias("mark"), F.lit(p).alias("p"), F.col(m).alias("q")) for m, p in marks.items()])))
+    day = F.to_date(TS).between(*[F.lit(d).cast("date") for d in SKETCHED_DAYS])
+    ranks = quantiles.attach(r.where(day).select(SITE, POWER), found.drop("n"), [SITE])
+    shares = [F.avg((F.col(POWER) < F.col(m)).cast("double")).alias(f"{m}_below") for m in marks]
+    shares += [F.avg((F.col(POWER) <= F.col(m)).cast("double")).alias(f"{m}_upto") for m in marks]
+    ranks = ranks.groupBy(SITE).agg(*shares)
+    pick = lambda kind: F.coalesce(*[F.when(F.col("mark") == m, F.col(f"{m}_{kind}")) for m in marks])
+    error = F.greatest(pick("below") - F.col("p"), F.col("p") - pick("upto"), F.lit(0.0))
+    return long.join(ranks, SITE).select(SITE, "mark", "n", (error <= quantiles.rank_error()).alias("within_bound"))
+
+
 def _days(r):
     return r.select(SITE, F.to_date(TS).alias("day")).distinct()
 
@@ -385,7 +408,7 @@ def queries():
     on_readings("win_pct", lambda r: windows.add_rate_of_change(narrow(r)).select(ID, f"{POWER}_pct_change_1m"))
     on_readings("win_gap", lambda r: windows.add_steps(narrow(r)).drop(TS, POWER))
     on_readings("win_matrix", _matrix)
-    on_readings("chk_rn", lambda r: ordering.number_rows(narrow(r)).select(ID, "rn"))
+    on_readings("chk_rn", lambda r: ordering.rank_rows(narrow(r)).select(ID, "rn"))
     on_readings("chk_block", lambda r: bare(windows.add_rolling_features(narrow(r), windows=[45, 97, 1439])))
     on_readings("chk_halo", lambda r: bare(windows.add_lag_features(narrow(r), lags=[1, 700, 1439], chunk_rows=1500)))
 
@@ -419,6 +442,7 @@ def queries():
     on_readings("agg_corrpairs", lambda r: profile.redundant_pairs(_matrix(r), features.feature_names()))
     on_readings("agg_shares", profile.energy_shares)
     on_readings("agg_quant", _quantiles)
+    on_readings("agg_quant_sketch", _sketched)
     on_readings("agg_complete", profile.completeness)
     on_readings("agg_cycmean", _cycles)
     on_session("agg_scores", lambda s, d: score_statistics(scored_table(s, d), "isolation_forest"))
@@ -427,6 +451,7 @@ def queries():
     # joins and ranking
     on_session("join_overlay", lambda s, d: joins.overlay(fixtures.readings(s, d), scored_table(s, d)))
     on_readings("join_nearest", _nearest)
+    on_readings("join_nearest_irregular", _nearest_irregular)
     on_session("join_knn", lambda s, d: neighbours.nearest_rows(embeddings(s, d), embeddings(s, d), 5, exclude_self=True))
     on_session("join_knn_hashed", _hashed)
     on_session("join_lookup", lambda s, d: detector(s, d).score_dataframe(_matrix(fixtures.readings(s, d))).select(ID, "anomaly_score"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattspan.functions.clock import rule_micros
-from wattspan.operators import features, filters, joins, ordering, profile, quantiles, resample, windows
+from wattspan.operators import features, filters, joins, ordering, profile, quantiles, ranking, resample, windows
 from wattspan.schema import METRICS, POWER
 
 
@@ -112,16 +112,60 @@ def test_bad_rule():
         rule_micros("3 fortnights")
 
 
+MARKS = {"a": 0.0, "b": 0.01, "c": 0.37, "d": 0.5, "e": 0.99, "f": 1.0}
+
+
 def test_quantiles_match_numpy(copies):
-    marks = {"a": 0.0, "b": 0.01, "c": 0.37, "d": 0.5, "e": 0.99, "f": 1.0}
     rows = copies.select("site_id", *METRICS).toPandas()
-    for bins in (4, 256):
-        for r in quantiles.exact_quantiles(copies, POWER, marks, ["site_id"], bins=bins).collect():
-            values = rows[rows.site_id == r["site_id"]][POWER]
-            np.testing.assert_allclose([r[m] for m in marks], values.quantile(list(marks.values())), atol=1e-12)
-            assert r["n"] == len(values)
-    r = quantiles.exact_quantiles(copies, "voltage_v", marks).first()
-    np.testing.assert_allclose([r[m] for m in marks], rows["voltage_v"].quantile(list(marks.values())), atol=1e-9)
+    for r in quantiles.exact_quantiles(copies, POWER, MARKS, ["site_id"]).collect():
+        values = rows[rows.site_id == r["site_id"]][POWER]
+        np.testing.assert_allclose([r[m] for m in MARKS], values.quantile(list(MARKS.values())), atol=1e-12)
+        assert r["n"] == len(values)
+    r = quantiles.exact_quantiles(copies, "voltage_v", MARKS).first()
+    np.testing.assert_allclose([r[m] for m in MARKS], rows["voltage_v"].quantile(list(MARKS.values())), atol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["normal", "wide", "tiny", "edges", "one"])
+def test_quantiles_of_any_doubles(spark, kind):
+    draw = np.random.default_rng(3)
+    x = {
+        "normal": draw.normal(0, 1, 3_000),
+        "wide": draw.choice([-1.0, 1.0], 3_000) * 10 ** draw.uniform(-300, 300, 3_000),
+        "tiny": np.arange(1, 400) * 5e-324,
+        "edges": np.array([-np.inf, -1.7e308, -0.0, 0.0, 5e-324, 1.7e308, np.inf, 1.0, np.nextafter(1.0, 2.0)] * 3),
+        "one": np.full(500, 2.5),
+    }[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+    marks = {f"m{i}": i / 16 for i in range(17)}
+    r = quantiles.exact_quantiles(df, "v", marks).first()
+    at = np.sort(x)[[int(np.floor(p * (len(x) - 1))) for p in marks.values()]]
+    above = np.sort(x)[[int(np.ceil(p * (len(x) - 1))) for p in marks.values()]]
+    got = np.array([r[m] for m in marks])
+    assert r["n"] == len(x) and (got >= at).all() and (got <= above).all()
+    exact = [i for i, p in enumerate(marks.values()) if float(p * (len(x) - 1)).is_integer()]
+    assert (got[exact] == at[exact]).all()
+
+
+def test_quantiles_sort_no_values(copies):
+    plan = quantiles.exact_quantiles(copies, POWER, MARKS, ["site_id"])._jdf.queryExecution().toString()
+    assert "_bin" not in plan and "Window" not in plan
+    assert quantiles.exact_quantiles(copies.where("false"), POWER, MARKS, ["site_id"]).collect() == []
+
+
+def test_sketches_merge_to_any_range(copies, tmp_path):
+    path = str(tmp_path / "sketches")
+    quantiles.daily_sketches(copies, POWER, k=200).write.parquet(path)
+    sketches, rows = copies.sparkSession.read.parquet(path), copies.select("site_id", "timestamp", POWER).toPandas()
+    for start, end in (("2024-01-05", "2024-01-09"), (None, "2024-01-20"), (None, None)):
+        found = quantiles.sketched_quantiles(sketches, MARKS, start, end, k=200)
+        assert "Scan ExistingRDD" not in found._jdf.queryExecution().toString()
+        for r in found.collect():
+            own = rows[rows.site_id == r["site_id"]].set_index("timestamp").sort_index()
+            own = own.loc[start : None if end is None else f"{end} 23:59:59.999999", POWER].to_numpy()
+            assert r["n"] == len(own)
+            for mark, p in MARKS.items():
+                off = max((own < r[mark]).mean() - p, p - (own <= r[mark]).mean(), 0)
+                assert off <= quantiles.rank_error(200)
 
 
 def test_sample_is_exact_and_stable(readings):
@@ -157,10 +201,40 @@ def test_hours_are_rows(readings):
         filters.last_hours(readings, 200)
 
 
-def test_ranks_of_one_value_cut_into_slots(spark):
-    from wattspan.operators.ranking import ranked_changes
-
-    rows = spark.range(1000).selectExpr("id * 7 AS id", "'s' AS site_id", "CASE WHEN id % 3 = 0 THEN 0.0 ELSE -(id % 10) / 8 END AS d")
-    got = ranked_changes(rows, "d", slot_rows=20).orderBy("rank").collect()
-    expected = sorted((abs(r["d"]), r["id"]) for r in rows.collect())
-    assert [(r["abs_change"], r["id"]) for r in got] == expected and [r["rank"] for r in got] == list(range(1, 1001))
+@pytest.fixture(scope="module")
+def clusters(spark):
+    """Half of the values equal, ids in two far clusters."""
+    ids = "CASE WHEN id % 2 = 0 THEN id ELSE id + 9000000000000000 END AS id"
+    return spark.range(4000).selectExpr(ids, "'s' AS site_id", "CASE WHEN id % 4 < 2 THEN 0.0 ELSE -(id % 10) / 8 END AS d").cache()
+
+
+def test_ranks_of_equal_values_and_clustered_ids(clusters):
+    got = ranking.ranked_changes(clusters, "d", piece_rows=100).orderBy("rank").collect()
+    expected = sorted((abs(r["d"]), r["id"]) for r in clusters.collect())
+    assert [(r["abs_change"], r["id"]) for r in got] == expected and [r["rank"] for r in got] == list(range(1, 4001))
+    assert ranking.ranked_changes(clusters.where("false"), "d").collect() == []
+
+
+def test_pieces_are_of_like_size(clusters):
+    sizes = [r["count"] for r in ordering.in_pieces(clusters, ["site_id"], ["d"], 100).groupBy("_piece").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 400 and len(sizes) > 20
+
+
+def test_nearest_targets_at_any_times(spark):
+    draw = np.random.default_rng(5)
+    at = lambda minutes: [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=int(m)) for m in minutes]
+    sites = ["a", "b", "none", None]
+    events = [(str(draw.choice(["a", "a", "a", "b", "none"])), i, t) for i, t in enumerate(at(draw.integers(0, 3_000, 1_500)))]
+    events += [("a", 5_000 + i, pd.Timestamp("2024-01-01 10:00:00")) for i in range(700)] + [("a", 9_000, None), (None, 9_001, at([5])[0])]
+    marks = [(str(draw.choice(["a", "b"])), t) for t in at(draw.integers(500, 2_000, 80) * 2)] * 2 + [("b", None)]
+    left = spark.createDataFrame([(s, i, t.to_pydatetime() if t is not None else None) for s, i, t in events], "site_id string, id long, timestamp timestamp_ntz")
+    right = spark.createDataFrame([(s, t.to_pydatetime() if t is not None else None) for s, t in marks], "site_id string, timestamp timestamp_ntz")
+    times = {s: sorted({t for site, t in marks if site == s and t is not None}) for s in sites}
+    want = {}
+    for s, i, t in events:
+        near = min(times[s], key=lambda x: (abs(x - t), -x.value)) if times[s] and t is not None else None
+        want[i] = near
+    for rows in (60, 100_000):
+        got = {r["id"]: r["nearest"] for r in joins.nearest_targets(left, right, piece_rows=rows).collect()}
+        assert {i: got[i] and pd.Timestamp(got[i]) for i in got} == {i: t for i, t in want.items() if i in got}
+        assert set(want) - set(got) <= {9_001}

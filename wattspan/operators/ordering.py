@@ -7,14 +7,18 @@ windows then run on chunks of consecutive row numbers, each with a copy of the
 rows just before it.
 """
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattspan.durable import durable
 from wattspan.functions.clock import floor_to
 from wattspan.schema import ORDER, SITE
 
 SLOT_SECONDS = 3600
 CHUNK_ROWS = 7_200
+PIECE_ROWS = 50_000
 
 
 def slot_starts(df: DataFrame, keys, slot: str) -> DataFrame:
@@ -57,6 +61,32 @@ def number_rows(
     )
 
 
+def in_pieces(df: DataFrame, keys, order, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """The rows in pieces of about ``piece_rows``, with ``_piece``: pieces follow each other in the order
+    of (keys, ``order``), whatever the values are. The cuts come from Spark's sample of the rows;
+    ``_tie`` tells rows apart that are equal in all of this, so that they can be cut as well.
+    The pieces are written, since a second sample could cut elsewhere."""
+    held = durable(df, "rows")
+    held = held.withColumn("_tie", F.monotonically_increasing_id())
+    count = max(1, math.ceil(held.count() / piece_rows))
+    cut = held.repartitionByRange(count, *keys, *order, "_tie") if count > 1 else held.coalesce(1)
+    return durable(cut.withColumn("_piece", F.spark_partition_id()), "pieces")
+
+
+def rank_rows(df: DataFrame, keys=(SITE,), order=tuple(ORDER), name: str = "rn", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Like :func:`number_rows` for any order and any spread of its values: neither time slots nor value
+    cells nor evenly spread ids are needed. Rows are ranked in pieces, and a table with a row per key and piece
+    carries the counts of the pieces before. Rows that are equal in ``order`` are ranked in no certain order."""
+    keys = list(keys)
+    pieces = in_pieces(df, keys, order, piece_rows)
+    ahead = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*keys, "_piece", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*order, "_tie")
+    ranked = pieces.join(durable(counts, "counts"), [*keys, "_piece"])
+    return ranked.withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_piece", "_before", "_tie")
+
+
 def last_rows(df: DataFrame, n: int, keys=(SITE,), order=tuple(ORDER), slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """The last ``n`` rows of each key; only slots that can hold them are sorted."""
     keys = list(keys)

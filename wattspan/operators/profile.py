@@ -125,7 +125,7 @@ def hourly(df: DataFrame, keys=(SITE,)) -> DataFrame:
     by = [*keys, "hour"]
     hours = df.withColumn("hour", F.hour(TS)).select(*by, POWER)
     basic = hours.groupBy(*by).agg(F.avg(POWER).alias("mean_kw"), F.stddev_samp(POWER).alias("std_kw"))
-    medians = exact_quantiles(hours, POWER, {"median_kw": 0.5}, by, bins=16).drop("n")
+    medians = exact_quantiles(hours, POWER, {"median_kw": 0.5}, by).drop("n")
     return basic.join(medians, by).withColumns(
         {"band_low": F.col("mean_kw") - F.col("std_kw"), "band_high": F.col("mean_kw") + F.col("std_kw")}
     )

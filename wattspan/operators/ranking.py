@@ -1,11 +1,11 @@
 """Top-k reports and ordered output."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.durable import durable
 from wattspan.functions.calendar import iso_text, minute_text
 from wattspan.functions.energy import half_up
+from wattspan.operators.ordering import PIECE_ROWS, rank_rows
 from wattspan.operators.profile import date_range
 from wattspan.operators.quantiles import exact_quantiles
 from wattspan.operators.windows import add_steps
@@ -79,33 +79,10 @@ def change_curve(changes: DataFrame, column: str, keys=(SITE,), points: int = 10
     return wide.select(*keys, F.inline(rows))
 
 
-def ranked_changes(changes: DataFrame, column: str, keys=(SITE,), cell: float = 0.05, slot_rows: int = 50_000) -> DataFrame:
-    """Every absolute change with its rank; ties in the order of their ids.
-
-    A site's values are counted first; running sums over cells of values and over the
-    values of a cell give the rank at which each value starts. The rows of one value, which may
-    be a third of all (a change of zero), are cut into slots by their place
-    between its smallest and largest id, so a task ranks about ``slot_rows`` rows.
-    """
+def ranked_changes(changes: DataFrame, column: str, keys=(SITE,), piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Every absolute change with its rank; ties in the order of their ids."""
     sized = changes.where(F.col(column).isNotNull()).withColumn("abs_change", F.abs(F.col(column)))
-    value = [*keys, "abs_change"]
-    values = sized.groupBy(*value).agg(F.count(F.lit(1)).alias("_n"), F.min(ID).alias("_a"), F.max(ID).alias("_b"))
-    values = durable(values.withColumn("_cell", F.floor(F.col("abs_change") / F.lit(cell))), "values")
-    before = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    cells = values.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_in_cell"))
-    cells = cells.select(*keys, "_cell", F.coalesce(F.sum("_in_cell").over(before(keys, "_cell")), F.lit(0)).alias("_ahead"))
-    inner = F.coalesce(F.sum("_n").over(before([*keys, "_cell"], "abs_change")), F.lit(0))
-    starts = values.withColumn("_inner", inner).join(cells, [*keys, "_cell"])
-    slots = F.floor(F.col("_n") / F.lit(slot_rows)) + 1
-    starts = starts.select(*value, (F.col("_ahead") + F.col("_inner")).alias("_before"), slots.alias("_slots"), "_a", "_b")
-    share = (F.col(ID).cast("double") - F.col("_a").cast("double")) / (F.col("_b").cast("double") - F.col("_a").cast("double") + 1.0)
-    placed = sized.join(starts, value).withColumn("_slot", F.least(F.floor(share * F.col("_slots")), F.col("_slots") - 1))
-    counts = placed.groupBy(*value, "_slot").agg(F.count(F.lit(1)).alias("_in_slot"))
-    counts = counts.withColumn("_earlier", F.coalesce(F.sum("_in_slot").over(before(value, "_slot")), F.lit(0)))
-    ranked = placed.join(counts.drop("_in_slot"), [*value, "_slot"])
-    inside = Window.partitionBy(*value, "_slot").orderBy(ID)
-    ranked = ranked.withColumn("rank", F.col("_before") + F.col("_earlier") + F.row_number().over(inside))
-    return ranked.drop("_before", "_slots", "_a", "_b", "_slot", "_earlier")
+    return rank_rows(sized, keys, ["abs_change", ID], "rank", piece_rows)
 
 
 def in_time_order(df: DataFrame, order=(SITE, TS, ID)) -> DataFrame:
