@@ -406,6 +406,8 @@ def oracle_sql() -> dict[str, str]:
     out["agg_quant_sketch"] = f"WITH {CTE} SELECT site_id, unnest(['p01', 'p25', 'p50', 'p75', 'p99']) AS mark, n, TRUE AS within_bound FROM (SELECT site_id, count(*) AS n FROM readings WHERE CAST(timestamp AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-19' GROUP BY site_id) d"
     out["join_knn"] = steady("SELECT * FROM found", ["query", "neighbour", "rank"], ["distance"], f"{VEC}, {PAIRS}, {nearest(5)}")
     out["join_knn_hashed"] = "SELECT count(*) AS queries, TRUE AS recall_at_least_95 FROM embeddings"
+    out["join_knn_descent"] = f"WITH {CTE_MATRIX} SELECT count(*) AS queries, 20::BIGINT AS fewest, 20::BIGINT AS most, TRUE AS recall_at_least_95 FROM matrix"
+    out["join_knn_index"] = f"WITH {CTE_MATRIX} SELECT count(*) AS queries, count(*) * 20 AS pairs, TRUE AS recall_at_least_90 FROM matrix WHERE id % 50 = 0"
     out["join_thresh"] = f"WITH {CTE}, {LIMITS} SELECT id, {POWER} > p99 AS is_spike, {POWER} < p01 AND hour(timestamp) BETWEEN 8 AND 22 AS is_dropout FROM readings r JOIN limits l ON l.site_id = r.site_id"
     out["top_gaps"] = steady("SELECT site_id, id, timestamp, step_seconds FROM steps WHERE step_seconds > 60 ORDER BY step_seconds DESC, site_id, timestamp, id LIMIT 10", ["site_id", "id", "timestamp"], ["step_seconds"], f"{CTE}, {STEPS}")
     out["lim_48"] = steady(f"SELECT site_id, strftime(bucket, '%Y-%m-%d %H:%M') AS timestamp, {HU(POWER, 3)} AS power_kw, {HU(VOLT, 1)} AS voltage_v, CAST(least((SELECT count(*) FROM home), 48) AS BIGINT) AS count, (SELECT count(*) FROM home) > 48 AS truncated FROM home ORDER BY bucket LIMIT 48", ["site_id", "timestamp", "count", "truncated"], ["power_kw", "voltage_v"], f"{CTE}, {FILLED('1 hour', AVGS())}, home AS (SELECT * FROM filled WHERE site_id = 'home-01')")

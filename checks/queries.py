@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from checks.oracle import SCALE, SHIFT
 from wattspan.durable import durable, scratch_path
 from wattspan.functions import calendar, energy
-from wattspan.models import neighbours, registry
+from wattspan.models import graph, neighbours, registry
 from wattspan.models.evaluate import batch_totals, score_statistics
 from wattspan.models.iforest import NODE_SCHEMA, fit_forest, forest_scorer
 from wattspan.models.lof import fit_lof, score_lof
@@ -294,6 +294,11 @@ def _vectors(spark, sf_dir):
     return once(spark, sf_dir, "vectors", make)
 
 
+def _numbered(spark, sf_dir):
+    """The scaled features of all sites with the readings' ids."""
+    return once(spark, sf_dir, "numbered", lambda: durable(_vectors(spark, sf_dir).select("id", "features"), "numbered"))
+
+
 def _forest(spark, sf_dir):
     def make():
         vectors = _vectors(spark, sf_dir)
@@ -333,6 +338,27 @@ def _hashed(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("queries")).withColumn("recall_at_least_95", F.lit(recall >= 0.95))
 
 
+def _descent(spark, sf_dir):
+    """Neighbours of all rows by descent, and their recall on every fiftieth row, held against all rows."""
+    rows = _numbered(spark, sf_dir)
+    found = durable(graph.descend(rows, 20), "found")
+    some = rows.where("id % 50 = 0")
+    recall = neighbours.recall_of(found, neighbours.nearest_rows(some, rows, 20, exclude_self=True))
+    per_row = found.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    counted = per_row.agg(F.count(F.lit(1)).alias("queries"), F.min("n").alias("fewest"), F.max("n").alias("most"))
+    return counted.withColumn("recall_at_least_95", F.lit(recall >= 0.95))
+
+
+def _indexed(spark, sf_dir):
+    """Neighbours of every fiftieth row from a stored index, and their recall."""
+    rows, path = _numbered(spark, sf_dir), scratch_path(spark, "index")
+    graph.write_index(rows, path)
+    some = rows.where("id % 50 = 0")
+    found = durable(graph.probe_index(some, path, 20, exclude_self=True)[0], "found")
+    recall = neighbours.recall_of(found, neighbours.nearest_rows(some, rows, 20, exclude_self=True))
+    return found.agg(F.countDistinct("query").alias("queries"), F.count(F.lit(1)).alias("pairs")).withColumn("recall_at_least_90", F.lit(recall >= 0.9))
+
+
 def _dash(spark, sf_dir, table):
     key = f"dash-{table}"
     tables = reads.dashboard(fixtures.readings(spark, sf_dir), "home-01", "2024-01-05", "2024-01-20", "1h", detector(spark, sf_dir))
@@ -454,6 +480,8 @@ def queries():
     on_readings("join_nearest_irregular", _nearest_irregular)
     on_session("join_knn", lambda s, d: neighbours.nearest_rows(embeddings(s, d), embeddings(s, d), 5, exclude_self=True))
     on_session("join_knn_hashed", _hashed)
+    on_session("join_knn_descent", _descent)
+    on_session("join_knn_index", _indexed)
     on_session("join_lookup", lambda s, d: detector(s, d).score_dataframe(_matrix(fixtures.readings(s, d))).select(ID, "anomaly_score"))
     on_readings("join_thresh", _thresholds)
     on_session("top_anom", lambda s, d: ranking.get_anomalies(scored_table(s, d), 50))

@@ -1,4 +1,4 @@
-"""Local Outlier Factor (Breunig et al., 2000) on top of exact neighbours.
+"""Local Outlier Factor (Breunig et al., 2000) on top of exact or approximate neighbours.
 
 Fit and score are joins and averages over (query, neighbour) rows. A row that
 many others have as a neighbour makes the join key skewed; the rows are few and
@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattspan.durable import durable
-from wattspan.models.neighbours import SEARCHES
+from wattspan.models.graph import nearest_by_descent, probe_index, write_index
+from wattspan.models.neighbours import hashed_nearest_rows, nearest_rows
 
 NEIGHBOURS = 20
+SEARCHES = {"exact": nearest_rows, "hashed": hashed_nearest_rows, "descent": nearest_by_descent}
 # Fixed value: keeps a density finite among copies of one row.
 TINY = 1e-10
 
@@ -32,7 +34,8 @@ def _factor(found: DataFrame, own: DataFrame, base_density: DataFrame) -> DataFr
 def fit_lof(vectors: DataFrame, k: int = NEIGHBOURS, method: str = "exact", **options) -> tuple[DataFrame, DataFrame]:
     """The model (id, features, k_distance, density) and the factor of every training row.
 
-    ``method`` is ``exact`` or ``hashed``; options go to that search.
+    ``method`` is ``exact``, ``hashed`` or ``descent``; options go to that search. Only the last one takes about as much
+    work per row for any number of rows.
     """
     found = durable(SEARCHES[method](vectors, vectors, k, exclude_self=True, **options), "neighbours")
     k_distance = found.groupBy(F.col("query").alias("id")).agg(F.max("distance").alias("k_distance"))
@@ -57,3 +60,15 @@ def score_lof(
     """
     found = durable(SEARCHES[method](queries, model, k, exclude_self, **options), "neighbours")
     return _factor(found, _density(found, model), model)
+
+
+def save_index(model: DataFrame, path: str, **options) -> None:
+    """Store what :func:`score_with_index` needs of a model."""
+    write_index(model.select("id", "features", "k_distance", "density"), path, **options)
+
+
+def score_with_index(queries: DataFrame, path: str, k: int = NEIGHBOURS, exclude_self: bool = False, **options) -> DataFrame:
+    """Factor of each query among the rows of a stored index; only the folders that the queries meet are read."""
+    found, rows = probe_index(queries, path, k, exclude_self, **options)
+    found = durable(found, "neighbours")
+    return _factor(found, _density(found, rows), rows)

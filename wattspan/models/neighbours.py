@@ -259,6 +259,3 @@ def recall_of(found: DataFrame, exact: DataFrame) -> float:
     hits = limit.join(found.select("query", "distance"), "query", "left")
     counted = hits.groupBy("query", "n").agg(F.count_if(F.col("distance") <= F.col("limit") * (1 + 1e-12)).alias("hit"))
     return counted.agg(F.sum(F.least("hit", "n")) / F.sum("n")).first()[0]
-
-
-SEARCHES = {"exact": nearest_rows, "hashed": hashed_nearest_rows}

@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspan.durable import durable
+from wattspan.durable import durable, exists
 from wattspan.models import registry
 from wattspan.models.evaluate import flag
 from wattspan.models.iforest import forest_scorer
-from wattspan.models.lof import score_lof
+from wattspan.models.lof import score_lof, score_with_index
 from wattspan.models.scaler import scaled_vector
 from wattspan.operators.features import build_feature_matrix, require_features
 from wattspan.operators.filters import input_violations
@@ -15,6 +15,11 @@ from wattspan.operators.ranking import get_anomalies
 from wattspan.schema import ID
 
 
+def index_path(model_table: str) -> str:
+    """Where the neighbour index of a model is kept."""
+    return f"{model_table}_index"
+
+
 class AnomalyDetector:
     """The latest model of a registry, or a given version of it."""
 
@@ -49,7 +54,11 @@ class AnomalyDetector:
             # a key of its own: buckets have no id, and ids alone may repeat
             vectors = durable(vectors.withColumn("_key", F.monotonically_increasing_id()), "vectors")
             queries = vectors.select(F.col("_key").alias("id"), F.col("_features").alias("features"))
-            factors = score_lof(queries, self.model, self.entry["sample_size"])
+            index = index_path(self.entry["model_table"])
+            if exists(self.spark, index):
+                factors = score_with_index(queries, index, self.entry["sample_size"])
+            else:
+                factors = score_lof(queries, self.model, self.entry["sample_size"])
             raw = vectors.join(factors.select(F.col("id").alias("_key"), (-F.col("lof")).alias("_raw")), "_key").drop("_key")
         scored = raw.withColumn("anomaly_score", F.col("_raw") - F.lit(self.entry["score_offset"]))
         return flag(scored.drop("_features", "_raw"))

@@ -9,8 +9,9 @@ from wattspan.durable import durable
 from wattspan.models import registry
 from wattspan.models.evaluate import flag, score_offset, score_statistics
 from wattspan.models.iforest import SAMPLE, TREES, fit_forest, forest_scorer
-from wattspan.models.lof import NEIGHBOURS, fit_lof, score_lof
+from wattspan.models.lof import NEIGHBOURS, fit_lof, save_index, score_lof
 from wattspan.models.scaler import fit_scaler, scaled_vector
+from wattspan.models.scoring import index_path
 from wattspan.operators.features import build_feature_matrix, get_numeric_features
 from wattspan.operators.filters import by_site, exact_sample
 from wattspan.schema import ORDER, SITE
@@ -75,13 +76,14 @@ def train_models(
     exclude_self: bool = True,
     trees: int = TREES,
     seed: int = 42,
-    neighbours: str = "exact",
+    neighbours: str = "descent",
 ) -> dict:
     """Train, evaluate and register an Isolation Forest and, to compare, a LOF model.
 
     Returns per model its version, its statistics (one row) and its scored
     training rows. ``exclude_self=False`` evaluates LOF with each training row
-    as its own neighbour. ``neighbours`` is the search that LOF is fitted with.
+    as its own neighbour. ``neighbours`` is the search that LOF is fitted with; unless it is ``exact``, an index
+    is stored with the model, and scoring probes that.
     """
     spark = readings.sparkSession
     matrix = load_training_data(readings, site_id, sample_frac)
@@ -108,12 +110,15 @@ def train_models(
         offset_rows = fitted.select((-F.col("lof")).alias("raw_score"))
         offset = score_offset(offset_rows, contamination)
         if not exclude_self:
-            fitted = durable(score_lof(plain, model, k, method=neighbours), "factors")
+            method = "hashed" if neighbours == "descent" else neighbours
+            fitted = durable(score_lof(plain, model, k, method=method), "factors")
         raw = keyed.drop("features").join(fitted.select(F.col("id").alias("_key"), (-F.col("lof")).alias("raw_score")), "_key")
         raw = raw.drop("_key")
         results["lof"] = _finish(
             spark, models_dir, "lof", model, scaler, names, durable(raw, "raw"), contamination, k, offset
         )
+        if neighbours != "exact":
+            save_index(model, index_path(registry.load_entry(spark, models_dir, results["lof"]["version"])["model_table"]))
     return results
 
 
