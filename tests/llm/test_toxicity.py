@@ -59,6 +59,18 @@ def test_held_out_texts(spark):
     assert score_toxicity(long, train).first().score > 0.7
 
 
+def test_long_texts_are_learned_from(spark):
+    """All toxic texts are longer than what is taken of one."""
+    train = corpus(spark, 150, 5)
+    toxic = F.concat(F.lit("scum idiot "), F.repeat(F.concat("text", F.lit(" scum idiot ")), 20))
+    train = train.withColumn("text", F.when(F.col("toxic") == 1, toxic).otherwise(F.col("text")))
+    long = train.withColumn("text", F.when(F.col("toxic") == 1, F.repeat("text", 10)).otherwise(F.col("text")))
+    assert long.where("toxic = 1").agg(F.min(F.length("text"))).first()[0] > 8000
+    held = corpus(spark, 60, 6)
+    got = held.join(score_toxicity(held.drop("toxic"), long), "doc_id").collect()
+    assert any(r.score >= 0.7 for r in got if r.toxic) and len({r.score for r in got}) > 10
+
+
 def test_awkward_rows(docs, empty, spark):
     train = corpus(spark, 60, 3)
     got = score_toxicity(docs, train).collect()

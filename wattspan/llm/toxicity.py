@@ -247,13 +247,15 @@ def score_toxicity(
     """(key, score) of each row of ``docs``: the probability of its most toxic window, between 0 and 1.
 
     Learned from the rows of ``labelled`` whose label is 0 or 1: about ``per_label`` texts of
-    each label, of at most ``longest`` characters, which bounds what is learned from;
-    every text is scored in whole. A null or blank text has the score of an empty
+    each label, whatever their length; of one over ``longest`` characters a run of that many, begun at a place that a hash chooses,
+    which bounds what is learned from. Every text is scored in whole. A null or blank text has the score of an empty
     window. Without labels every score is one half. Null keys and repeated rows are
     kept; an empty table gives an empty result.
     """
-    rated = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.length(text) <= longest))
-    rated = rated.select(text, F.col(label).cast("int").alias("y"), F.xxhash64(key, text).alias("h"))
+    rated = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull())
+    begin = F.pmod(F.xxhash64(key, text, F.lit(1)), F.greatest(F.char_length(text) - longest + 1, F.lit(1))) + 1
+    part = F.substring(text, begin.cast("int"), F.lit(longest)).alias(text)
+    rated = rated.select(part, F.col(label).cast("int").alias("y"), F.xxhash64(key, text).alias("h"))
     counts = {r["y"]: r["count"] for r in rated.groupBy("y").count().collect()}
     share = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     keep = F.lit(False)
