@@ -1,6 +1,8 @@
 """The readings table under several writers, and the edges of the reads that rest on it."""
 
 import json
+import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -152,3 +154,37 @@ def test_types_of_a_message(spark, change, wanted):
     message = {"schema_version": "1.0", "site_id": "h", "device_id": "m", "timestamp": "2021-03-01T08:00:00Z", "metrics": {POWER: 0.5}} | change
     found = messages.parse_messages(spark.createDataFrame([(json.dumps(message),)], "value string")).first()["violations"]
     assert (wanted in found) if wanted else found == []
+
+
+def test_look_back_reads_a_few_day_folders(spark, tmp_path):
+    table = str(tmp_path / "table")
+    rows = synthetic.generate_dataset(spark, 40, datetime(2024, 1, 1)).withColumnRenamed("seq", "id").drop("injected")
+    # a gap of some days, and a sparse time before it
+    rows = rows.where((F.col("timestamp") < "2024-01-20") & (F.col("id") % 2 == 0) | (F.col("timestamp") >= "2024-01-30"))
+    append_readings(rows.withColumn("site_id", F.lit("home-01")), table)
+    site = read_readings(spark, table).where("site_id = 'home-01'")
+    files = lambda df: {r[0].split("day=")[1][:10] for r in df.select(F.input_file_name()).distinct().collect()}
+    for first, days in ((datetime(2024, 2, 8), 2), (datetime(2024, 1, 30, 6), 16), (datetime(2024, 1, 2), 1)):
+        held = reads.look_back(site, first, 1439)
+        every = site.where(F.col("timestamp") < F.lit(first))
+        assert held.count() >= min(1439, every.count()) and len(files(held)) <= days < len(files(site))
+        newest = lambda df: [r["id"] for r in df.orderBy(F.desc("timestamp"), F.desc("id")).limit(1439).collect()]
+        assert newest(held) == newest(every)
+    assert reads.look_back(site, datetime(2024, 1, 1), 1439).count() == 0
+
+
+def test_two_trainings_at_once_have_two_versions(spark, tmp_path):
+    path, entry = str(tmp_path / "models"), {f.name: None for f in registry.ENTRY}
+
+    def train(_):
+        number = registry.claim_version(spark, path)
+        time.sleep(0.5)
+        registry.append_entry(spark, path, {**entry, "seq": number, "version": f"{number}.0", "model_name": "m"})
+        return number
+
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(train, range(6)))
+    assert sorted(numbers) == list(range(1, 7))
+    assert sorted(r["seq"] for r in registry.read_registry(spark, path).collect()) == list(range(1, 7))
+    assert registry.get_next_version(spark, path) == "7.0"
+    assert registry.load_entry(spark, path)["version"] == "6.0"

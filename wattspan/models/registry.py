@@ -1,10 +1,11 @@
 """Model registry: an append-only table of entries and the rules to pick one."""
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattspan.durable import exists
+from wattspan.durable import exists, file_system
 
 STATS = ["mean", "std", "min", "max", "p01", "p05", "p95", "p99"]
 
@@ -34,7 +35,7 @@ def read_registry(spark: SparkSession, models_dir: str) -> DataFrame:
     """All entries; an empty table when nothing was saved yet."""
     if not exists(spark, registry_path(models_dir)):
         return spark.createDataFrame([], ENTRY)
-    return spark.read.schema(ENTRY).parquet(registry_path(models_dir))
+    return spark.read.schema(ENTRY).parquet(registry_path(models_dir)).select(*ENTRY.names)
 
 
 def next_version(entries: DataFrame, keys=()) -> DataFrame:
@@ -73,13 +74,28 @@ def get_next_version(spark: SparkSession, models_dir: str) -> str:
     return next_version(read_registry(spark, models_dir)).first()["next_version"]
 
 
+def claim_version(spark: SparkSession, models_dir: str) -> int:
+    """The next version's number, for the caller alone: whoever creates its file first has it, and any other
+    one takes the next number. Needs a file system that creates a file exclusively, as HDFS and local disks do."""
+    number = int(float(get_next_version(spark, models_dir)))
+    while True:
+        system, where = file_system(spark, f"{models_dir.rstrip('/')}/model_versions/{number}")
+        try:
+            system.create(where, False).close()
+            return number
+        except Py4JJavaError as taken:
+            # the file is there: another training has this number
+            if not system.exists(where):
+                raise taken
+            number += 1
+
+
 def append_entry(spark: SparkSession, models_dir: str, entry: dict) -> None:
-    entries = read_registry(spark, models_dir)
-    seq = entries.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).first()["s"] + 1
-    row = {**entry, "seq": seq}
-    spark.createDataFrame([tuple(row[f.name] for f in ENTRY)], ENTRY).coalesce(1).write.mode("append").parquet(
-        registry_path(models_dir)
-    )
+    """Append an entry; without a ``seq`` of its own it takes a claimed number. Every entry is a folder of its own,
+    so that two writers do not share one commit."""
+    row = {**entry, "seq": entry.get("seq") or claim_version(spark, models_dir)}
+    made = spark.createDataFrame([tuple(row[f.name] for f in ENTRY)], ENTRY).coalesce(1)
+    made.write.parquet(f"{registry_path(models_dir)}/entry={row['seq']}")
 
 
 def load_entry(spark: SparkSession, models_dir: str, version: str | None = None):

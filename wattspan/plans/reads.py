@@ -1,5 +1,7 @@
 """User-level reads: time series, anomalies, statistics and the dashboard's tables."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from wattspan.schema import ID, METRICS, ORDER, POWER, SITE, TS, VOLTAGE
 from wattspan.sources.readings import in_range
 
 LOOK_BACK_ROWS = 1439
+EARLIEST = datetime(1, 1, 1)
 
 
 def site_slice(readings: DataFrame, site_id: str, start=None, end=None, hours: int = 24) -> DataFrame:
@@ -24,18 +27,32 @@ def site_slice(readings: DataFrame, site_id: str, start=None, end=None, hours: i
     return filters.last_hours(site, hours)
 
 
+def look_back(site: DataFrame, first, rows: int) -> DataFrame:
+    """A range before ``first`` that holds the ``rows`` rows before it, or all there are.
+
+    It reaches back a day, and as long as that is too few rows and older ones exist, four times as far. Each
+    step counts rows of the day folders it reaches (see ``in_range``), so older folders are not read.
+    """
+    days = 1
+    while True:
+        start = first - timedelta(days=days)
+        held = in_range(site, start, first, half_open=True)
+        if held.count() >= rows or in_range(site, EARLIEST, start, half_open=True).isEmpty():
+            return held
+        days *= 4
+
+
 def _score_slice(detector: AnomalyDetector, readings: DataFrame, site_id: str, start, end, hours: int, context: bool):
     """Scored rows of a slice; ``context`` also reads the rows before it, so none stays unscored."""
     rows = site_slice(readings, site_id, start, end, hours)
     if not context:
         return rows, detector.score_raw_readings(rows)
-    site = filters.by_site(readings, site_id)
-    first = rows.agg(F.min(TS).alias("t")).scalar()
-    before = site.where(F.col(TS) < first)
-    scored = detector.score_raw_readings(
-        filters.last_rows(before, LOOK_BACK_ROWS).unionByName(rows)
-    )
-    return rows, scored.where(F.col(TS) >= first)
+    first = rows.agg(F.min(TS).alias("t")).first()["t"]
+    if first is None:
+        return rows, detector.score_raw_readings(rows)
+    before = look_back(filters.by_site(readings, site_id), first, LOOK_BACK_ROWS)
+    scored = detector.score_raw_readings(filters.last_rows(before, LOOK_BACK_ROWS).unionByName(rows))
+    return rows, scored.where(F.col(TS) >= F.lit(first))
 
 
 def get_timeseries(

@@ -43,13 +43,15 @@ def save_model(
     offset: float,
     sample_size: int,
 ) -> str:
-    """Write the model tables and append the entry; returns the version."""
-    version = registry.get_next_version(spark, models_dir)
+    """Write the model tables and append the entry; returns the version, which no other training can have."""
+    number = registry.claim_version(spark, models_dir)
+    version = f"{number}.0"
     base = models_dir.rstrip("/")
     model_table, scaler_table = f"{base}/anomaly_{name}_v{version}", f"{base}/scaler_v{version}"
     model.write.parquet(model_table)
     scaler.write.parquet(scaler_table)
     entry = {
+        "seq": number,
         "version": version,
         "model_name": name,
         "model_table": model_table,
