@@ -432,6 +432,7 @@ def oracle_sql() -> dict[str, str]:
     out["str_ingest"] = steady(by_site, ["site_id", "timestamp"], METRICS, CTE_PARSED)
     out["str_bounds"] = f"WITH {CTE_PARSED} SELECT value, timestamp, unnest(warning_list) AS warning FROM validated"
     out["str_resample"] = steady("SELECT * FROM filled", key, METRICS, f"{CTE}, {FILLED('1 hour', AVGS())}")
+    out["str_resample_append"] = out["str_resample"]
 
     # reads
     cut = "timestamp BETWEEN TIMESTAMP '2024-01-08 06:00:00' AND TIMESTAMP '2024-01-19 18:30:00'"

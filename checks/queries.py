@@ -72,7 +72,8 @@ def reading_folder(spark, sf_dir):
         third = (span["b"] - span["a"]) / 3
         cuts = [span["a"], span["a"] + third, span["a"] + 2 * third, span["b"] + timedelta(microseconds=1)]
         for low, high in zip(cuts, cuts[1:]):
-            in_range(rows, low, high, half_open=True).coalesce(1).write.mode("append").parquet(path)
+            # an arrival is a few files, whatever the size of the span
+            in_range(rows, low, high, half_open=True).write.mode("append").parquet(path)
         return path
 
     return once(spark, sf_dir, "arrivals", make)
@@ -269,6 +270,15 @@ def _str_resample(spark, sf_dir):
     return live.read_resampled(spark, _stream(spark, sf_dir, lambda o, c: live.resample_stream(rows, "1h", o, c), "resampled"))
 
 
+def _str_resample_append(spark, sf_dir):
+    """Buckets written once each, with a closing flush."""
+    out, progress = scratch_path(spark, "appended"), scratch_path(spark, "progress")
+    rows = live.read_reading_stream(spark, reading_folder(spark, sf_dir))
+    live.append_resampled(rows, "1h", out, progress).awaitTermination()
+    live.close_resampled(spark, out, progress)
+    return live.read_appended(spark, out)
+
+
 def _str_score(spark, sf_dir):
     rows = live.read_reading_stream(spark, reading_folder(spark, sf_dir), 1)
     model, tail = detector(spark, sf_dir), scratch_path(spark, "tail")
@@ -516,6 +526,7 @@ def queries():
     on_session("str_ingest", _str_ingest)
     on_session("str_bounds", _str_bounds)
     on_session("str_resample", _str_resample)
+    on_session("str_resample_append", _str_resample_append)
     on_session("str_score", _str_score)
 
     # reads

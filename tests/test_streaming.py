@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattspan.models.scoring import AnomalyDetector
+from wattspan.operators import resample
 from wattspan.plans import training
 from wattspan.sources import fixtures, raw_lines, synthetic
 from wattspan.sources.readings import read_readings
@@ -66,3 +67,22 @@ def test_scores_equal_batch_scores(spark, tmp_path):
     # 719 rows of warm-up and the rows without power (no metered ratio) have no score
     no_score = rows.where((F.col("id") < 719) | (F.col("global_active_power_kw") == 0)).count()
     assert 3500 < both.count() == want.count() <= 4320 - no_score + 5
+
+
+def test_appended_buckets_are_written_once(spark, readings, tmp_path):
+    arrivals, out, progress = (str(tmp_path / n) for n in ("arrivals", "out", "progress"))
+    cuts = ["2023-01-01", "2024-01-08", "2024-01-17", "2030-01-01"]
+    want = {}
+    for low, high in zip(cuts, cuts[1:]):
+        part = readings.where((F.col("timestamp") >= low) & (F.col("timestamp") < high))
+        part.withColumn("ingested_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(arrivals)
+        # the stream ends and starts anew from its checkpoint
+        live.append_resampled(live.read_reading_stream(spark, arrivals, 1), "1h", out, progress).awaitTermination()
+        live.close_resampled(spark, out, progress)
+        got = live.read_appended(spark, out)
+        want = resample.resample_mean(readings.where(F.col("timestamp") < high), "1h")
+        told = lambda df: sorted((r["site_id"], r["bucket"]) for r in df.where("voltage_v IS NOT NULL").collect())
+        assert told(got) == told(want)
+    near = got.join(want.select("site_id", "bucket", F.col("voltage_v").alias("v")), ["site_id", "bucket"])
+    assert near.where("abs(voltage_v - v) < 1e-9").count() == got.count()
+    assert "batch=" not in got._jdf.queryExecution().toString()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wattspan.durable import remove
+from wattspan.durable import exists, remove
 from wattspan.functions.clock import rule_micros
 from wattspan.models.scoring import AnomalyDetector
 from wattspan.operators.ordering import last_rows
@@ -90,6 +90,13 @@ def bounds_stream(lines: DataFrame, out_path: str, checkpoint: str, interval: st
     return _start(warned.writeStream.format("parquet").option("path", out_path), checkpoint, interval)
 
 
+def _bucket_means(readings: DataFrame, rule: str, delay: str) -> DataFrame:
+    width = f"{rule_micros(rule)} microseconds"
+    timed = readings.withColumn("_time", F.col(TS).cast("timestamp")).withWatermark("_time", delay)
+    buckets = timed.groupBy(SITE, F.window("_time", width)).agg(*[F.avg(m).alias(m) for m in METRICS])
+    return buckets.select(SITE, F.col("window.start").cast("timestamp_ntz").alias("bucket"), *METRICS)
+
+
 def resample_stream(
     readings: DataFrame,
     rule: str,
@@ -105,10 +112,7 @@ def resample_stream(
     buckets forgotten. Buckets start on the epoch grid, which is midnight's grid for
     steps that divide a day.
     """
-    width = f"{rule_micros(rule)} microseconds"
-    timed = readings.withColumn("_time", F.col(TS).cast("timestamp")).withWatermark("_time", delay)
-    buckets = timed.groupBy(SITE, F.window("_time", width)).agg(*[F.avg(m).alias(m) for m in METRICS])
-    rows = buckets.select(SITE, F.col("window.start").cast("timestamp_ntz").alias("bucket"), *METRICS)
+    rows = _bucket_means(readings, rule, delay)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
@@ -116,6 +120,43 @@ def resample_stream(
     return _start(rows.writeStream.outputMode("update").foreachBatch(write), checkpoint, interval)
 
 
+def append_resampled(
+    readings: DataFrame,
+    rule: str,
+    out_path: str,
+    checkpoint: str,
+    delay: str = "1 hour",
+    interval: str | None = None,
+) -> StreamingQuery:
+    """Like :func:`resample_stream`, but every bucket is written once, when the watermark has passed it.
+
+    The file sink commits a micro-batch's files as one, so a repeated batch adds no copies and a read needs no
+    search for the newest state. Buckets that are still open stay in the state store:
+    :func:`close_resampled` writes them when a stream has ended.
+    """
+    rows = _bucket_means(readings, rule, delay)
+    writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{out_path}/closed")
+    return _start(writer, checkpoint, interval)
+
+
+def close_resampled(spark: SparkSession, out_path: str, checkpoint: str) -> None:
+    """Write the buckets that an ended :func:`append_resampled` stream still holds open, from its state
+    store. If the stream goes on later, close it again: the open buckets are written anew each time."""
+    state = spark.read.format("statestore").load(checkpoint)
+    # per metric the sum and the count that make its mean, all of one name each: they are told apart by place
+    kinds = ", ".join(f"sum_{m}: double, count_{m}: bigint" for m in METRICS)
+    held = state.select("key.*", F.col("value").cast(f"struct<{kinds}>").alias("value")).select(SITE, "window", "value.*")
+    means = [(F.col(f"sum_{m}") / F.nullif(F.col(f"count_{m}"), F.lit(0))).alias(m) for m in METRICS]
+    rows = held.select(SITE, F.col("window.start").cast("timestamp_ntz").alias("bucket"), *means)
+    rows.write.mode("overwrite").parquet(f"{out_path}/open")
+
+
+def read_appended(spark: SparkSession, out_path: str) -> DataFrame:
+    """The buckets of an append-form stream: those that are closed and, after :func:`close_resampled`, the open ones."""
+    closed = spark.read.parquet(f"{out_path}/closed")
+    return closed.unionByName(spark.read.parquet(f"{out_path}/open")) if exists(spark, f"{out_path}/open") else closed
+
+
 def read_resampled(spark: SparkSession, out_path: str) -> DataFrame:
     """The newest state of every bucket that a resampling stream has written."""
     newest = F.max_by(F.struct(*METRICS), "batch").alias("m")
