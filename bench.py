@@ -31,6 +31,7 @@ HEADLINE = [
     "join_nearest",
     "join_knn",
     "join_knn_hashed",
+    "join_knn_index",
     "sort_abs",
     "mod_if_fit",
     "mod_train",
