@@ -424,6 +424,7 @@ def oracle_sql() -> dict[str, str]:
     out["mod_scaler"] = steady(f"SELECT CAST(position AS BIGINT) AS position, feature, mean, scale FROM ({scaler}) s", ["position", "feature"], ["mean", "scale"], CTE_MATRIX)
     out["mod_lof_fit"] = steady(LOF.format(found="found", own="dens"), ["id"], ["lof"], LOF_FIT)
     out["mod_lof_score"] = steady(LOF.format(found="found_self", own="own"), ["id"], ["lof"], LOF_SELF)
+    out["snk_registry"] = f"WITH {CTE_MATRIX} SELECT 1::BIGINT AS seq, '1.0' AS version, 'isolation_forest' AS model_name, count(*) AS n_training_samples, least(count(*), 256) AS sample_size, {len(FEATURES)}::BIGINT AS n_features FROM matrix"
     out["mod_registry"] = f"WITH {CTE}, {ENTRIES} SELECT site_id, concat(max(seq) + 1, '.0') AS next_version, arg_max(version, seq) AS latest_version, max(n_training_samples) FILTER (version = '3.0') AS third_samples FROM entries GROUP BY site_id"
     out["mod_info"] = steady("SELECT site_id, arg_max(model_name, seq) AS model_name, arg_max(version, seq) AS version, arg_max(training_date, seq) AS training_date, arg_max(n_training_samples, seq) AS n_training_samples, arg_max(anomaly_rate, seq) AS anomaly_rate, CAST(7 AS BIGINT) AS n_features, count(*) AS total_models_in_registry FROM entries GROUP BY site_id", ["site_id", "model_name", "version", "training_date", "n_training_samples", "n_features", "total_models_in_registry"], ["anomaly_rate"], f"{CTE}, {ENTRIES}")
 

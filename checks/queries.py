@@ -406,7 +406,7 @@ def queries():
     on_readings("src_json", lambda r: messages.parse_messages(fixtures.messages(r)).select(ID, SITE, "device_id", VOLTAGE, text("violations")))
     on_readings("src_synth", lambda r: synthetic.generate_for_days(_days(r), seed=7).drop("day"))
     with_readings("snk_readings", _sink)
-    on_session("snk_registry", lambda s, d: registry.read_registry(s, trained(s, d)[0]).drop("score_stats", "feature_names"))
+    on_session("snk_registry", lambda s, d: registry.read_registry(s, trained(s, d)[0]).select("seq", "version", "model_name", "n_training_samples", "sample_size", F.size("feature_names").alias("n_features")))
 
     # filters
     on_readings("flt_site", filters.by_site)

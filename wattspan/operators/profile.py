@@ -182,6 +182,7 @@ def correlation_matrix(df: DataFrame, columns=tuple(METRICS), keys=(SITE,)) -> D
     """The full Pearson matrix of a few columns in long form; a constant column has none."""
     pairs = list(combinations(columns, 2))
 
+    # not F.corr: it divides by zero, an error in ANSI mode, where a column is constant
     def correlation(a: str, b: str):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a)), F.when(both, F.col(b))

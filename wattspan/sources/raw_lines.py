@@ -51,6 +51,7 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     first_bad = F.array_position(F.transform(values, lambda v: v.isNull()), True).cast("int")
     wrong_count = F.size("_f") != FIELD_COUNT
     unknown = F.array_contains("_f", "?")
+    # fixed values: the texts of reasons, which users' logs are searched for
     reason = (
         F.when(wrong_count, F.concat(F.lit(f"Expected {FIELD_COUNT} fields, got "), F.size("_f")))
         .when(unknown, F.lit(None))
@@ -81,6 +82,7 @@ def validate_metrics(names: dict[str, str] | None = None) -> Column:
     warnings = []
     for metric, (low, high) in BOUNDS.items():
         value = F.col((names or {}).get(metric, metric))
+        # fixed value: the text of a warning
         text = F.concat(F.lit(f"{metric}="), value.cast("string"), F.lit(f" out of bounds [{low}, {high}]"))
         warnings.append(F.when((value < low) | (value > high) | F.isnan(value), text))
     return F.array_compact(F.array(*warnings))
