@@ -74,20 +74,29 @@ def get_next_version(spark: SparkSession, models_dir: str) -> str:
     return next_version(read_registry(spark, models_dir)).first()["next_version"]
 
 
+def _create(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, if there is none: of several callers one succeeds. HDFS does this in one step; Hadoop's
+    local file system looks first and creates then, so Java's own step is used there."""
+    system, where = file_system(spark, path)
+    if system.getUri().getScheme() == "file":
+        system.mkdirs(where.getParent())
+        return spark.sparkContext._jvm.java.io.File(where.toUri().getPath()).createNewFile()
+    try:
+        system.create(where, False).close()
+        return True
+    except Py4JJavaError:
+        if not system.exists(where):
+            raise
+        return False
+
+
 def claim_version(spark: SparkSession, models_dir: str) -> int:
-    """The next version's number, for the caller alone: whoever creates its file first has it, and any other
-    one takes the next number. Needs a file system that creates a file exclusively, as HDFS and local disks do."""
+    """The next version's number, for the caller alone: whoever creates its file has it, and any other one takes
+    the next number. A training that fails later leaves its number unused."""
     number = int(float(get_next_version(spark, models_dir)))
-    while True:
-        system, where = file_system(spark, f"{models_dir.rstrip('/')}/model_versions/{number}")
-        try:
-            system.create(where, False).close()
-            return number
-        except Py4JJavaError as taken:
-            # the file is there: another training has this number
-            if not system.exists(where):
-                raise taken
-            number += 1
+    while not _create(spark, f"{models_dir.rstrip('/')}/model_versions/{number}"):
+        number += 1
+    return number
 
 
 def append_entry(spark: SparkSession, models_dir: str, entry: dict) -> None:
