@@ -79,7 +79,9 @@ def test_counts_beyond_the_digits_of_a_float_are_whole():
     slots, _, bit, _ = decisions(b"ab ", np.zeros(1, np.uint8), code)
     slot, bit = int(slots[4, -1]), int(bit[-1])
     own = sent[sent["block"] == slot // BLOCK]
-    held = np.frombuffer(_sum(pd.concat([own, own]))["n"].iloc[0], np.int64).reshape(-1, 2)
+    whole = _sum(pd.concat([own, own])).iloc[0]
+    held = np.zeros((BLOCK, 2), np.int64)
+    held[np.frombuffer(whole["at"], "<u2")] = np.frombuffer(whole["n"], np.int64).reshape(-1, 2)
     assert held[slot % BLOCK, bit] % (2 * (big + 1)) == 0 and held[slot % BLOCK, bit] > 0
 
 

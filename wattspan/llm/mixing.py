@@ -6,17 +6,18 @@ corpus. For each decision several predictors, one per context of preceding bytes
 give the counts of zeros and ones that training words had there; a mixer adds
 their log odds with weights of the gate that the amount of evidence selects, and an
 adaptive map per decision node corrects the result. All decisions of a code form a
-tree, so the probabilities of all spellings add up to one. The model's probability of
-a text is the product over its words.
+tree, so the probabilities of all spellings add up to one. The spelling is the lowest level of
+what predicts a word of a running text: the levels above it, and how they are mixed online in
+text order, are those of :mod:`wattspan.llm.running`.
 
 The class of a document, one of a few found by clustering the word counts of all training
 texts, is coded before its words and is part of every context; its cost is part of the
 score.
 
-Words repeat, so each distinct word of a class is scored once: tasks send the distinct words
+Words repeat, so each distinct word of a class is spelled once: tasks send the distinct words
 of their slice of documents to buckets, where counts over all training documents are
-added up; the counts feed the predictors; the bucket scores its words and sends the
-scores back to each slice. Weights are learned online in one pass over all training
+added up; the counts feed the predictors; the bucket scores its spellings and sends the
+scores back to each slice, which reads its texts in order. Weights are learned online in one pass over all training
 words, in several parts side by side whose weights are averaged; a word is left out of the
 counts that predict it. Predictors have tables of fixed size, whatever the corpus.
 """
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattspan.durable import durable, remove, scratch_path
+from wattspan.llm.running import running_scores
 from wattspan.llm.textarrays import BYTE, Words, longs_as_text, mix, parts, powers, text_slices, to_bytes
 
 END, SPACE = b"\xff", 0x20  # no UTF-8 text holds the byte 255
@@ -38,7 +40,7 @@ END, SPACE = b"\xff", 0x20  # no UTF-8 text holds the byte 255
 TABLES = (16, 18, 20, 20, 22)
 FIRST = np.cumsum([0, *(1 << b for b in TABLES)])
 BLOCK, GATES, STEPS, PRIOR = 1 << 16, 25, 24, 0.4
-CLASSES, VECTOR, ROUNDS, FIXED = 8, 1024, 5, 1 << 24
+CLASSES, VECTOR, ROUNDS, FIXED, TEXTS = 8, 1024, 5, 1 << 24, 2048
 NODE = mix(np.arange(256, dtype=np.uint64), 100)
 
 
@@ -223,8 +225,8 @@ def find_classes(texts: DataFrame, text: str, start: float, rounds: int = ROUNDS
 
 def _gather(docs: DataFrame, key: str, text: str, train: str, buckets: int, chunk_bytes: int, centres: np.ndarray) -> DataFrame:
     """Per slice of documents: a row per bucket with its distinct words by class and their
-    training counts, and a row per document with its class and the places of its words
-    among those."""
+    training counts, and a row per document with its class, its bytes and the places of its words
+    among those, in text order."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 24
@@ -259,22 +261,19 @@ def _gather(docs: DataFrame, key: str, text: str, train: str, buckets: int, chun
                     if y > x
                 ]
                 out = pd.DataFrame(sent, columns=["chunk", "bucket", "words", "counts", "classes"])
-                out[key], out[train], out["places"] = None, None, None
+                out[key], out[train], out["places"], out["size"] = None, None, None, None
                 yield out
-                # places in ascending order, as differences
                 seq = local[back]
-                seq = seq[np.lexsort((seq, docs_))]
                 cuts = np.searchsorted(docs_, np.arange(b - a + 1))
-                step = np.diff(seq, prepend=0)
-                step[cuts[:-1]] = seq[cuts[:-1]]
-                wide = np.maximum.reduceat(step, cuts[:-1]) > 0xFFFF
-                bags = [step[x:y].astype("<u4" if w else "<u2").tobytes() for x, y, w in zip(cuts, cuts[1:], wide, strict=False)]
-                out = pd.DataFrame({"chunk": number, "bucket": np.where(wide, -2, -1), key: rows[key].iloc[a:b], train: learned[a:b]})
+                # the four bytes of a place are kept apart: the upper ones compress well
+                bags = [seq[x:y].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+                out = pd.DataFrame({"chunk": number, "bucket": -1, key: rows[key].iloc[a:b], train: learned[a:b]})
+                out["size"] = [len(t) - 2 for t in texts[a:b]]
                 out["places"], out["words"], out["counts"], out["classes"] = bags, None, None, [bytes([c]) for c in own]
                 yield out
                 number += 1
 
-    return docs.mapInPandas(run, f"chunk long, bucket int, words binary, counts binary, classes binary, `{key}` string, `{train}` boolean, places binary")
+    return docs.mapInPandas(run, f"chunk long, bucket int, words binary, counts binary, classes binary, `{key}` string, `{train}` boolean, places binary, size long")
 
 
 def _paired(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -332,10 +331,22 @@ def _tally(code: Code):
 
 
 def _sum(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sum of some parts of a block."""
     total = np.zeros((BLOCK, 2), np.int64)
     for at, n in zip(rows["at"], rows["n"], strict=True):
         total[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.int64).reshape(-1, 2)
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "n": [total.tobytes()]})
+    at = np.flatnonzero(total.any(1))
+    return pd.DataFrame({"block": [rows["block"].iloc[0]], "at": [at.astype("<u2").tobytes()], "n": [total[at].tobytes()]})
+
+
+def _in_groups(rows: DataFrame, by: str | None, parts_: int, add, result: str) -> DataFrame:
+    """Rows added up in two levels, at most 32 rows at once below and as few groups as that allows
+    above, so that no task holds what every part of the input sends."""
+    keys = [by] if by else []
+    while parts_ > 32:
+        parts_ = math.ceil(parts_ / 32)
+        rows = rows.withColumn("_of", F.pmod(F.xxhash64("n"), F.lit(parts_))).groupBy(*keys, "_of").applyInPandas(add, result)
+    return rows.groupBy(*keys).applyInPandas(add, result)
 
 
 def _train(code: Code, table):
@@ -357,11 +368,16 @@ def _train(code: Code, table):
                         zeros, ones = np.maximum(held[..., 0] - (1 - bit), 0), np.maximum(held[..., 1] - bit, 0)
                         mixer.learn(zeros, ones, node, bit, weight)
                         seen += weight.sum()
-        yield pd.DataFrame({"seen": [seen], "weights": [mixer.weights.tobytes()], "map": [(mixer.map - start).tobytes()]})
+        n = np.concatenate([[seen], (mixer.weights * seen).ravel(), (mixer.map - start).ravel()])
+        yield pd.DataFrame({"n": [n.tobytes()]})
 
     return run
 
 
+def _add_trained(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"n": [np.sum([np.frombuffer(n) for n in sorted(rows["n"])], axis=0).tobytes()]})
+
+
 def _score(code: Code, table, weights: np.ndarray, map_: np.ndarray):
     """For each slice that sent words to a bucket: their counts and log10 probabilities."""
 
@@ -393,15 +409,24 @@ def _finish(key: str, train: str, total: int, known: int, kinds: np.ndarray):
     def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         told = told.sort_values("bucket")
         count = np.frombuffer(b"".join(told["c"]), "<i8")
-        values = np.stack([np.log10(count + 1.0), count > 0, np.frombuffer(b"".join(told["p"]), "<f4").astype(float)])
-        out = []
-        for wide, bag, kind in zip(docs["bucket"], docs["places"], docs["classes"], strict=True):
-            at = np.cumsum(np.frombuffer(bag, "<u4" if wide == -2 else "<u2"), dtype=np.int64)
-            out.append((len(at), *(values[:, at].sum(1) + (0, 0, kinds[kind[0]]))))
-        out = np.array(out).reshape(-1, 4)
-        base = out[:, 1] - out[:, 0] * math.log10(total + known + 1)
-        frame = {key: docs[key], train: docs[train], "n_tokens": out[:, 0].astype(int), "n_known": out[:, 2].astype(int)}
-        return pd.DataFrame(frame | {"train_tokens": total, "base_score": base, "score": out[:, 3]})
+        spelled = np.frombuffer(b"".join(told["p"]), "<f4").astype(float)
+        learned, bags, out = docs[train].to_numpy(bool), docs["places"].tolist(), []
+        for a, b in parts(bags, most=TEXTS):
+            places = [np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0] for x in bags[a:b]]
+            first = np.cumsum([0, *map(len, places)])
+            at, sizes = np.concatenate(places).astype(np.int64), np.diff(first)
+            # a text that was learned from is predicted by the other occurrences of its words
+            own = np.repeat(learned[a:b], sizes)
+            others = count[at] - own
+            share = others / np.maximum(total - own, 1)
+            corpus = np.tile([float(max(total - known, 0)), float(known)], (b - a, 1))
+            score = running_scores(spelled[at], share, corpus, at, first)
+            score += kinds[np.frombuffer(b"".join(docs["classes"].iloc[a:b]), np.uint8)]
+            sums = [np.add.reduceat(v, first[:-1]) for v in (np.log10(count[at] + 1.0), (count[at] > 0).astype(int))]
+            out.append((sizes, sums[1], sums[0] - sizes * math.log10(total + known + 1), score))
+        sizes, seen, base, score = (np.concatenate(column) for column in zip(*out, strict=True))
+        frame = {key: docs[key], train: docs[train], "n_tokens": sizes, "n_known": seen, "train_tokens": total, "base_score": base, "score": score}
+        return pd.DataFrame(frame | {"bits_per_byte": -score / math.log10(2) / (docs["size"].to_numpy(float) + 1)})
 
     return run
 
@@ -417,12 +442,12 @@ def mixing_scores(
     sample: int = 2000,
 ) -> DataFrame:
     """Per row of ``docs``: key, the boolean column ``train``, n_tokens, n_known, train_tokens,
-    base_score, score.
+    base_score, score, bits_per_byte.
 
     Tokens are words with A-Z lower-cased and one end per text; a null text has only
-    its end. The model learns from the rows where ``train`` is true. base_score is
+    its end. White space is not coded; bits_per_byte divides the score in bits by the bytes of the text and one for its end. The model learns from the rows where ``train`` is true. base_score is
     the add-one unigram log10 probability, score that of the mixing model. If nothing is
-    learned from, the predictors know nothing and the code alone decides. Null
+    learned from, the predictors know nothing and the code and the text so far decide. Null
     keys and repeated rows are kept; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -439,24 +464,25 @@ def mixing_scores(
     total, known = about[0] or 0, about[1] or 0
     code = Code(np.array([x or 0 for x in about[2:]]))
     learned = merged.select("words", "counts", "classes").coalesce(cells)
-    tallied = learned.mapInPandas(_tally(code), "block int, at binary, n binary").groupBy("block").applyInPandas(_sum, "block int, n binary")
+    block = "block int, at binary, n binary"
+    tallied = _in_groups(learned.mapInPandas(_tally(code), block), "block", cells, _sum, block)
     held = np.zeros((FIRST[-1], 2), np.float32)  # whole sums, rounded once for the log odds
     for row in tallied.toLocalIterator():  # one row per block of the tables
-        held[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["n"], np.int64).reshape(-1, 2)
+        held[row["block"] * BLOCK + np.frombuffer(row["at"], "<u2").astype(np.int64)] = np.frombuffer(row["n"], np.int64).reshape(-1, 2)
     table = spark.sparkContext.broadcast(held)  # FIRST[-1] pairs of counts
     del held
-    trained = learned.mapInPandas(_train(code, table), "seen double, weights binary, map binary").collect()
+    trained = _in_groups(learned.mapInPandas(_train(code, table), "n binary"), None, cells, _add_trained, "n binary").collect()  # one row
     start = Mixer()
-    share = np.array([r["seen"] for r in trained])
-    weights = [np.frombuffer(r["weights"]).reshape(start.weights.shape) for r in trained]
-    weights = np.average(weights, axis=0, weights=share) if share.sum() else start.weights
-    map_ = start.map + sum(np.frombuffer(r["map"]).reshape(start.map.shape) for r in trained)
+    n = np.frombuffer(trained[0]["n"]) if trained else np.zeros(1)
+    cut = 1 + start.weights.size
+    weights = n[1:cut].reshape(start.weights.shape) / n[0] if n[0] else start.weights
+    map_ = start.map + (n[cut:].reshape(start.map.shape) if n[0] else 0.0)
     told = merged.select("bucket", "words", "classes", "whole", "chunks", "places")
     told = told.mapInPandas(_score(code, table, weights, map_), "chunk long, bucket int, c binary, p binary")
-    bags = slices.where("bucket < 0").select("chunk", "bucket", key, train, "places", "classes")
+    bags = slices.where("bucket < 0").select("chunk", key, train, "places", "classes", "size")
     seen = {r["classes"][0]: r["count"] for r in bags.where(F.col(train)).groupBy("classes").count().collect()}
     kinds = np.array([1.0 + seen.get(c, 0) for c in range(len(centres))])
     kinds = np.log10(kinds / kinds.sum())
-    result = f"`{key}` string, `{train}` boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    result = f"`{key}` string, `{train}` boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     done = bags.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_finish(key, train, total, known, kinds), result)
     return done.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
