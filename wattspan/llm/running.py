@@ -76,36 +76,38 @@ def running_scores(spelled: np.ndarray, share: np.ndarray, corpus: np.ndarray, w
     text = np.repeat(np.arange(texts), sizes)
     past = histories(words, text, first[:-1])
     low = np.maximum(spelled, FLOOR)
-    told = np.concatenate([share[None], past[:, 1] / np.maximum(past[:, 0], 1)])
-    known = np.concatenate([corpus.sum(1)[text][None], past[:, 0]])
-    ones = np.concatenate([corpus[text, 0][None], past[:, 0] - past[:, 2]])
-    odds = np.where(known > 0, np.log((ones + PRIOR) / (known - ones + PRIOR)), 0.0)
-    gate = (known > 1.5).astype(np.int8) + (known > 4.5)
-    result = np.bincount(text, np.where(told.any(0), 0.0, spelled - low), texts)
+    # a row per position, a column per level; the last input is constant
+    told, zeros, ones = (np.empty((len(words), LEVELS), np.float32) for _ in range(3))
+    told[:, 0], zeros[:, 0], ones[:, 0] = share, corpus[text, 1], corpus[text, 0]
+    told[:, 1:] = (past[:, 1] / np.maximum(past[:, 0], 1)).T
+    zeros[:, 1:], ones[:, 1:] = past[:, 2].T, (past[:, 0] - past[:, 2]).T
+    known = ones + zeros
+    inputs = np.ones((len(words), LEVELS + 1), np.float32)
+    inputs[:, :LEVELS] = np.where(known > 0, np.log((ones + PRIOR) / (zeros + PRIOR)), 0)
+    gate = np.where(known > 0, (known > 1.5).astype(np.int8) + (known > 4.5), -1).astype(np.int8)
+    result = np.bincount(text, np.where(told.any(1), 0.0, spelled - low), texts)
     order = np.argsort(-sizes, kind="stable")
-    weights, level = start_weights(texts), np.arange(LEVELS)[:, None, None]
+    weights = start_weights(texts)
     for step in range(0, int(sizes.max(initial=0)), BLOCK):
         active = order[: np.searchsorted(-sizes[order], -step, "left")]
-        at = step + np.arange(BLOCK)
+        at = step + np.arange(min(BLOCK, int(sizes[active[0]]) - step))
         inside = at < sizes[active][:, None]
-        place = np.where(inside, first[active][:, None] + at, first[active][:, None])
-        x, g, f = odds[:, place], gate[:, place], told[:, place]
-        w = weights[active[:, None], level, g]
-        logit = np.einsum("ktbj,jtb->ktb", w[..., :LEVELS], x) + w[..., LEVELS]
-        lam = np.where(known[:, place] > 0, 1 / (1 + np.exp(-np.clip(logit, -12, 12))), 0.0)
+        place = first[active][:, None] + np.where(inside, at, 0)
+        x, g, f = inputs[place].astype(float), gate[place], told[place]
+        held = weights[active].reshape(len(active), LEVELS * GATES, LEVELS + 1)
+        logits = (x @ held.transpose(0, 2, 1)).reshape(*place.shape, LEVELS, GATES)
+        lam = np.where(g == 0, logits[..., 0], np.where(g == 1, logits[..., 1], logits[..., 2]))
+        lam = np.where(g >= 0, 1 / (1 + np.exp(-np.clip(lam, -12, 12))), 0.0)
         p, credit = 10.0 ** low[place], np.empty_like(lam)
         for k in range(LEVELS):
-            own = lam[k] * f[k]
-            p = own + (1 - lam[k]) * p
-            credit[k] = own / np.maximum(p, 1e-320)
+            own = lam[..., k] * f[..., k]
+            p = own + (1 - lam[..., k]) * p
+            credit[..., k] = own / np.maximum(p, 1e-320)
         result[active] += np.where(inside, np.log10(np.maximum(p, 1e-320)), 0.0).sum(1)
-        slope, left = np.empty_like(lam), inside.astype(float)
+        slope, left = np.empty_like(lam), inside * RATE
         for k in reversed(range(LEVELS)):
-            slope[k] = left * (credit[k] - lam[k])
-            left = left * (1 - credit[k])
-        slope[known[:, place] == 0] = 0.0
-        for j in range(GATES):
-            part = slope * (g == j)
-            weights[active, :, j, :LEVELS] += RATE * np.einsum("ktb,jtb->tkj", part, x, optimize=True)
-            weights[active, :, j, LEVELS] += RATE * part.sum(2).T
+            slope[..., k] = left * (credit[..., k] - lam[..., k])
+            left = left * (1 - credit[..., k])
+        parts = (slope[..., None] * (g[..., None] == np.arange(GATES))).reshape(*place.shape, LEVELS * GATES)
+        weights[active] += (parts.transpose(0, 2, 1) @ x).reshape(len(active), LEVELS, GATES, LEVELS + 1)
     return result
