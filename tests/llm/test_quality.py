@@ -2,7 +2,7 @@ import cases
 import numpy as np
 from pyspark.sql import functions as F
 
-from wattspan.llm.quality import features, fit, grade_documents, tail_probabilities
+from wattspan.llm.quality import DIM, features, fit, grade_documents, tail_probabilities
 
 
 def texts(n, seed):
@@ -46,3 +46,27 @@ def test_awkward_rows(docs, empty):
     assert sum(r.doc_id is None for r in got) == 1
     assert {tuple(r.tail) for r in grade_documents(docs, rated.where("false"), grades=3).collect()} == {(0.5, 0.5)}
     assert grade_documents(empty, rated, grades=3).collect() == []
+
+
+def test_a_fit_stands_where_the_likelihood_is_highest():
+    """The likelihood, written out for single rows, falls to both sides of every fitted number."""
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal((300, 3))
+    noise = np.log(1 / draw.random(300) - 1)
+    grade = np.digitize(x @ np.array([1.0, -0.5, 0.0]) + noise, [-1.0, 0.2, 1.5])
+    weights, cuts = fit(np.tile(np.arange(3), 300), x.ravel(), np.arange(301) * 3, grade, 4, rounds=1500)
+
+    def loss(theta):
+        total = 0.0
+        for row, y in zip(x, grade):
+            tail = [1.0, *(1 / (1 + np.exp(c - row @ theta[:3])) for c in theta[3:]), 0.0]
+            total -= np.log(tail[y] - tail[y + 1])
+        return total / len(x) + 0.5e-5 * (theta[:3] ** 2).sum()
+
+    assert np.all(np.diff(cuts) > 0) and np.abs(weights[3:DIM]).max() == 0
+    best = np.r_[weights[:3].astype(float), cuts]
+    for i in range(len(best)):
+        step = np.zeros(len(best))
+        step[i] = 0.05
+        assert loss(best + step) > loss(best) < loss(best - step)
+        assert abs(loss(best + step / 50) - loss(best - step / 50)) / 2e-3 < 2e-3

@@ -40,6 +40,36 @@ def test_gradients_equal_differences():
         assert abs((up - down) / 2e-4 + 1e-4 * held * (values.ndim == 2) - slope[i]) < 1e-4 * (1 + abs(slope[i])), name
 
 
+def test_forward_equals_a_plain_pass_word_by_word():
+    """Windows of every length, one empty, against gates and attention written out for single words."""
+    net, draw = Network(np.zeros(0, np.uint64)), np.random.default_rng(3)
+    net.p = {n: draw.standard_normal(x.shape) * 0.4 for n, x in net.p.items()}
+    sizes = [WINDOW, 10, 1, 0, 5]
+    x, at = draw.standard_normal((20, net.p["gate_f"].shape[0])), draw.integers(0, 20, (WINDOW, len(sizes)))
+    there = np.arange(WINDOW)[:, None] < np.array(sizes)
+    got = net.forward(x, at, there)
+
+    def logistic(v):
+        return 1 / (1 + np.exp(-v))
+
+    def read(words, side):
+        wide = len(net.p["loop_" + side])
+        h, out = np.zeros(wide), []
+        for v in words:
+            gates, again = v @ net.p["gate_" + side] + net.p["bias_" + side], h @ net.p["loop_" + side]
+            z, r = logistic(gates[:wide] + again[:wide]), logistic(gates[wide : 2 * wide] + again[wide : 2 * wide])
+            h = (1 - z) * np.tanh(gates[2 * wide :] + r * again[2 * wide :]) + z * h
+            out.append(h)
+        return out
+
+    for w, n in enumerate(sizes):
+        words = [x[at[t, w]] for t in range(n)]
+        states = [np.concatenate(pair) for pair in zip(read(words, "f"), read(words[::-1], "b")[::-1])]
+        heed = np.array([np.exp(s @ net.p["attend"]) for s in states])
+        pooled = sum((a * s for a, s in zip(heed / heed.sum(), states)), np.zeros(len(net.p["out"])))
+        assert abs(got[w] - (pooled @ net.p["out"] + net.p["base"][0])) < 1e-4
+
+
 def corpus(spark, n, seed):
     draw, rows = np.random.default_rng(seed), []
     for i in range(n):
