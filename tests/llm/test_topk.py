@@ -40,3 +40,11 @@ def test_fewer_vectors_than_wanted_and_none(spark):
     assert {tuple(r) for r in top_k(table, table, k=20).collect()} == {(0, 1, 20, 64 * 64 * 11), (20, 1, 0, 64 * 64 * 11)}
     assert top_k(table.where("vec_id < 0"), table).collect() == []
     assert top_k(table, table.where("vec_id < 0")).collect() == []
+
+
+@pytest.mark.parametrize("block", [2, 100_000])
+def test_repeated_rows_of_a_key_are_candidates_each_and_one_query(spark, block):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), *[(5, [0.5, 0.25])] * 4, (6, [0.25, 0.0]), (7, [-1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k(table, table.where("vec_id = 0"), k=5, pivots=2, block=block).collect())
+    assert got == [(0, i, 5, 64 * 32) for i in range(1, 5)] + [(0, 5, 6, 64 * 16)]
