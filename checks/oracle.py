@@ -463,7 +463,7 @@ def oracle_sql() -> dict[str, str]:
     out["join_lookup"] = steady("SELECT id, anomaly_score FROM scored", ["id"], marks, scored)
     out["mod_score_df"] = steady("SELECT * FROM scored", [*ALL, *flags], marks, scored)
     out["mod_score_raw"] = steady("SELECT * FROM scored", [*ALL, "is_anomaly"], marks, scored)
-    out["str_score"] = steady("SELECT * FROM scored", ["site_id", "timestamp", "id", "is_anomaly"], [POWER, *marks], scored)
+    out["str_score"] = out["str_score_state"] = steady("SELECT * FROM scored", ["site_id", "timestamp", "id", "is_anomaly"], [POWER, *marks], scored)
     iso = lambda c: f"CASE WHEN microsecond({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') END"
     report = f"SELECT {iso('timestamp')} AS timestamp, {HU('anomaly_score', 4)} AS anomaly_score, {HU(POWER, 3)} AS {POWER}, {HU(VOLT, 2)} AS {VOLT}, count(*) OVER () AS total_found, (SELECT {iso('min(timestamp)')} FROM {{r}}) AS range_start, (SELECT {iso('max(timestamp)')} FROM {{r}}) AS range_end FROM (SELECT * FROM scored WHERE is_anomaly {{w}} {severity} LIMIT 50) t"
     said = ["timestamp", "total_found", "range_start", "range_end"]

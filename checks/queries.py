@@ -20,7 +20,7 @@ from wattspan.plans import reads, training
 from wattspan.schema import ID, METRICS, POWER, RAW_METRICS, SITE, TS, VOLTAGE
 from wattspan.sources import fixtures, messages, raw_lines, synthetic
 from wattspan.sources.readings import append_readings, in_range, read_readings, scan_site
-from wattspan.streaming import live
+from wattspan.streaming import live, stateful
 
 KEYS = ["id", "timestamp", "site_id", "device_id"]
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
@@ -286,6 +286,14 @@ def _str_score(spark, sf_dir):
     return spark.read.parquet(out).drop("batch")
 
 
+def _str_score_state(spark, sf_dir):
+    """The same scores, with each site's look-back in the state store."""
+    rows = live.read_reading_stream(spark, reading_folder(spark, sf_dir), 1)
+    model, late = detector(spark, sf_dir), scratch_path(spark, "late")
+    out = _stream(spark, sf_dir, lambda o, c: stateful.score_stateful(rows, model, o, late, c), "state-scores")
+    return spark.read.parquet(out).drop("batch")
+
+
 def _matrix(r):
     return features.build_feature_matrix(r)
 
@@ -528,6 +536,7 @@ def queries():
     on_session("str_resample", _str_resample)
     on_session("str_resample_append", _str_resample_append)
     on_session("str_score", _str_score)
+    on_session("str_score_state", _str_score_state)
 
     # reads
     on_readings("q_timeseries", lambda r: reads.get_timeseries(r, start=CUT_START, end=CUT_END, rule="15min"))
