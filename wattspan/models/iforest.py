@@ -33,20 +33,23 @@ def average_path(n) -> np.ndarray:
 def tree_samples(vectors: DataFrame, n: int, seed: int = 42, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """Rows of (tree, id, features): ``min(sample, n)`` distinct rows for every tree.
 
-    Every row draws a 64-bit number for every tree and is a candidate where it
-    falls under the share that leaves a tree near three times its sample; the
-    smallest draws are taken. The rule and a tree's work are the same at every size of
-    data. A tree that is short all the same stops the fit.
+    Every row is a candidate of each tree with a chance that leaves a tree near three times
+    its sample; of those the smallest of as many fresh draws are taken. A row's first tree
+    comes from one number, as the length of a run of misses, so a row of a large table that serves no tree costs one hash. The
+    rule and a tree's work are the same at every size of data. A tree that is short all the same stops the fit.
     """
     size = min(sample, n)
     keep = min(1.0, SPARE * size / max(n, 1))
     below = -(2**63) + min(int(keep * 2.0**64), 2**64 - 1)
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.cast("int").alias("tree"), F.xxhash64("id", t, F.lit(seed)).alias("draw")),
-    )
-    drawn = F.filter(draws, lambda d: d["draw"] <= F.lit(below))
-    thinned = vectors.select("*", F.explode(drawn).alias("_d")).select(*vectors.columns, "_d.tree", F.col("_d.draw").alias("_draw"))
+    draw = lambda t, kind: F.xxhash64("id", t, F.lit(seed), F.lit(kind))
+    if keep < 1.0:
+        unit = (F.shiftrightunsigned(draw(F.lit(-1), 0), 11) + 0.5) * 2.0**-53
+        misses = F.floor(F.ln(unit) / math.log1p(-keep))
+    else:
+        misses = F.lit(0).cast("bigint")
+    served = vectors.withColumn("_first", misses).where(F.col("_first") < trees).withColumn("_first", F.col("_first").cast("int"))
+    after = F.filter(F.sequence(F.col("_first"), F.lit(trees - 1)), lambda t: (t == F.col("_first")) | (draw(t, 1) <= F.lit(below)))
+    thinned = served.select(*vectors.columns, F.explode(after).alias("tree")).withColumn("_draw", draw(F.col("tree"), 2))
     first = Window.partitionBy("tree").orderBy("_draw", "id")
     return thinned.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= size).drop("_at", "_draw")
 
