@@ -4,6 +4,9 @@ import cases
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from wattspan.llm import fingerprint
 from wattspan.llm.fingerprint import Sketches, differing, edit_fingerprints, likeness, pieces
 
 
@@ -39,8 +42,9 @@ def test_pieces_cover_every_byte():
     assert sets == [tuple(again[a:b].tolist()) for a, b in zip(bounds, bounds[1:])][::-1]
 
 
-@pytest.mark.parametrize("bucket", [1000, 10_000_000])
-def test_edits_and_next_documents(docs, bucket):
+@pytest.mark.parametrize("bucket,ranges", [(1000, 8192), (1000, 2), (10_000_000, 8192)])
+def test_edits_and_next_documents(docs, bucket, ranges, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGES", ranges)
     some = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted(((r.doc_id, r.text or "") for r in some.collect()), reverse=True)
     got = {r.doc_id: r for r in edit_fingerprints(some, bucket_chars=bucket).collect()}
@@ -60,6 +64,19 @@ def test_edits_and_next_documents(docs, bucket):
     assert got[11].near_edited > 0.4 > got[11].near_next
 
 
+def test_rows_of_one_key_do_not_reach_the_driver(spark):
+    ids = spark.range(30_000)
+    drawn = ids.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30))).first()["id"]  # the first key that a sample takes
+    key = F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(drawn))
+    rows = ids.select(key.alias("doc_id"), F.col("id").cast("string").alias("text"))
+    seen, collect = [], type(rows).collect
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(rows), "collect", lambda df: seen.append(collect(df)) or seen[-1])
+        done = edit_fingerprints(rows, bucket_chars=20_000)
+    assert 0 < max(map(len, seen)) < 100 * 8  # a third of all rows has one key
+    assert done.count() == 30_000
+
+
 def test_single_row_null_keys_and_empty(docs, empty, spark):
     one = edit_fingerprints(docs.where("doc_id = 12")).collect()
     assert one[0].near_edited < 1 and one[0].near_next == 1

@@ -26,6 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from wattspan.llm.textarrays import BYTE, Words, mix, powers
 
 PARTS, CELLS, CUT, LIMIT = 3, 12, np.uint64(7), 16
+RANGES = 8192
 
 
 def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,14 +155,15 @@ def ranged(docs: DataFrame, key: str, text: str, bucket_chars: int) -> DataFrame
     the first document of each range once more, as guest, in the range before it.
 
     Ranges are cut at keys of a hash sample of about fifty per range. Only the text
-    itself is shuffled; a range is read as a sorted stream, so it may be of any size."""
+    itself is shuffled; a range is read as a sorted stream, so it may be of any size and
+    there are at most RANGES of them: what reaches the driver does not grow beyond that."""
     docs = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("at", F.coalesce("key", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
     about = docs.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).first()
-    count = max(1, math.ceil((about.chars or 0) / bucket_chars))
+    count = min(RANGES, max(1, math.ceil((about.chars or 0) / bucket_chars)))
     share = min(1.0, 50 * count / max(about.n, 1))
-    some = docs.where(F.pmod(F.xxhash64("at"), F.lit(1 << 30)) < int(share * (1 << 30))).select("at")
-    keys = np.sort(np.array([r[0] for r in some.collect()], np.int64))  # about fifty per range
+    some = docs.where(F.pmod(F.xxhash64("at"), F.lit(1 << 30)) < int(share * (1 << 30))).select("at").distinct()
+    keys = np.sort(np.array([r[0] for r in some.collect()], np.int64))  # at most about fifty per range
     cuts = np.unique(keys[np.linspace(0, len(keys) - 1, count + 1).astype(int)[1:-1]]) if len(keys) else keys
 
     @F.pandas_udf(IntegerType())
