@@ -456,6 +456,10 @@ def oracle_sql() -> dict[str, str]:
     out["agg_scores"] = steady(statistics, *stats, scored)
     per_site = statistics.replace("SELECT ", "SELECT site_id, ", 1) + " GROUP BY site_id"
     out["mod_eval"] = steady(per_site, ["site_id", *stats[0]], stats[1], scored)
+    rate = HU("count(*) FILTER (flagged) / count(*)::DOUBLE", 4)
+    marked = f"(SELECT *, 2.25 - (1 + abs({VOLT} - 230) / 8) < 0 AS far FROM scored)"
+    one = f"SELECT '{{m}}' AS model_name, count(*) AS n_total, count(*) FILTER (flagged) AS n_anomalies, {rate} AS anomaly_rate, count(*) FILTER (is_anomaly AND far) AS flagged_by_all FROM (SELECT *, {{c}} AS flagged FROM {marked})"
+    out["mod_compare_fixed"] = steady(f"{one.format(m='isolation_forest', c='is_anomaly')} UNION ALL {one.format(m='lof', c='far')}", ["model_name", "n_total", "n_anomalies", "flagged_by_all"], ["anomaly_rate"], scored)
     totals = f"SELECT count(*) AS total, count(*) FILTER (is_anomaly) AS anomaly_count, {HU('count(*) FILTER (is_anomaly) / count(*)::DOUBLE', 4)} AS anomaly_rate, {HU('count(*) FILTER (is_anomaly) / count(*)::DOUBLE * 100', 2)} AS anomaly_pct"
     out["agg_batch"] = steady(f"{totals} FROM scored", ["total", "anomaly_count"], ["anomaly_rate", "anomaly_pct"], scored)
     out["mod_score_batch"] = steady(f"{totals}, site_id FROM scored GROUP BY site_id", ["site_id", "total", "anomaly_count"], ["anomaly_rate", "anomaly_pct"], scored)

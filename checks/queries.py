@@ -10,7 +10,7 @@ from checks.oracle import SCALE, SHIFT
 from wattspan.durable import durable, scratch_path
 from wattspan.functions import calendar, energy
 from wattspan.models import graph, neighbours, registry
-from wattspan.models.evaluate import batch_totals, score_statistics
+from wattspan.models.evaluate import batch_totals, flag, score_statistics
 from wattspan.models.iforest import NODE_SCHEMA, fit_forest, forest_scorer
 from wattspan.models.lof import fit_lof, score_lof
 from wattspan.models.scaler import fit_scaler, scaled_vector
@@ -389,6 +389,14 @@ def _compared(spark, sf_dir):
     return training.compare_models(training.train_models(fixtures.readings(spark, sf_dir), path, site_id=None, compare=True))
 
 
+def _compared_fixed(spark, sf_dir):
+    """The small forest beside a written-out factor of the voltage, compared as two models are."""
+    forest = scored_table(spark, sf_dir)
+    factor = F.lit(1.0) + F.abs(F.col(VOLTAGE) - 230.0) / 8.0
+    other = flag(forest.drop("is_anomaly", "prediction").withColumn("anomaly_score", F.lit(2.25) - factor))
+    return training.compare_models({"isolation_forest": {"scored": forest}, "lof": {"scored": other}})
+
+
 def queries():
     q = {}
 
@@ -523,6 +531,7 @@ def queries():
     on_session("mod_lof_score", lambda s, d: score_lof(embeddings(s, d), fit_lof(embeddings(s, d))[0]))
     on_session("mod_eval", lambda s, d: score_statistics(scored_table(s, d), "isolation_forest", [SITE]))
     on_session("mod_compare", _compared)
+    on_session("mod_compare_fixed", _compared_fixed)
     on_session("mod_train", lambda s, d: training.train_models(fixtures.readings(s, d), scratch_path(s, "models"), site_id=None)["isolation_forest"]["scored"])
     on_readings("mod_registry", _registry)
     on_readings("mod_info", lambda r: registry.model_info(registry_entries(r), [SITE]))
