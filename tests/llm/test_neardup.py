@@ -39,7 +39,8 @@ def test_equals_brute_force(docs, width, percent):
     assert {tuple(r) for r in near_duplicates(some, width=width, percent=percent).collect()} == expected
 
 
-def test_a_group_whose_members_are_linked_by_others_only(spark):
+@pytest.mark.parametrize("block", [3, 2000])
+def test_a_group_whose_members_are_linked_by_others_only(spark, block):
     """Copies that drift from one to the next: far from the first, near to their neighbours."""
     draw, words, rows = random.Random(3), cases.prose(200, 50).split(), []
     for i in range(40):
@@ -47,7 +48,7 @@ def test_a_group_whose_members_are_linked_by_others_only(spark):
         words[draw.randrange(200)] = f"w{i}"
     rows += [(200 + i, " ".join(w if draw.random() > 0.06 else f"v{i}{j}" for j, w in enumerate(words))) for i in range(40)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = near_duplicates(table, width=3, percent=85).collect()
+    got = near_duplicates(table, width=3, percent=85, block=block).collect()
     assert {tuple(r) for r in got} == brute(rows, 3, 85)
 
 

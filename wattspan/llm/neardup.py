@@ -158,7 +158,7 @@ def _confirm(percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-6
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 2000
 ) -> DataFrame:
     """One row per row of ``docs``: the key, n_shingles, component_id, kept.
 
@@ -168,7 +168,8 @@ def near_duplicates(
     an empty set and are linked with nothing; a null key is a component of its own
     and never stands for others. Repeated rows are equal texts; rows with one key
     share the component of the first class of that key. An empty table gives an empty
-    result. Other columns are not looked at.
+    result. Other columns are not looked at. ``block`` classes of one key on average, against as many, are the work
+    of one group: the result does not depend on it.
     """
     chunks = chunk_count(percent / 100, miss)
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
@@ -208,22 +209,26 @@ def near_duplicates(
     # what the stars leave open: classes of one key in different components
     held = met.join(parts_, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     held = durable(held, "held")
-    open_ = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    ends = [F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("held")]
+    # the classes of a key meet in blocks, so that a key of many is the work of many tasks
+    blocks = F.ceil(F.col("held") / block).cast("int").alias("blocks")
+    open_ = held.groupBy("key").agg(*ends).where("x <> y").select("key", blocks)
     held = durable(held.join(open_, "key"), "open")
     # a class has as many keys as there are (chunk, symbol) pairs at most
     lists = held.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     bits = sets.join(held.select("id").distinct(), "id", "left_semi")
     bits = bits.mapInPandas(_bits, ", ".join(["id long", *(f"s{i} long" for i in range(LONGS))]))
     bits = durable(bits.dropDuplicates(["id"]), "bits")
-    held = held.join(lists, "id").join(bits, "id")
+    held = held.join(lists, "id").join(bits, "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
     names = ["id", "n", "component", "keys", *(f"s{i}" for i in range(LONGS))]
-    left = held.select("key", *(F.col(c).alias("a" + c) for c in names))
-    right = held.select("key", *(F.col(c).alias("b" + c) for c in names))
+    left = held.select("key", F.col("own").alias("x"), F.explode(others).alias("y"), *(F.col(c).alias("a" + c) for c in names))
+    right = held.select("key", F.explode(others).alias("x"), F.col("own").alias("y"), *(F.col(c).alias("b" + c) for c in names))
     apart = " + ".join(f"bit_count(as{i} ^ bs{i})" for i in range(LONGS))
     near = f"aid < bid AND acomponent <> bcomponent AND {like.replace('na', 'an').replace('nb', 'bn')} AND {apart} <= {bit_threshold(percent / 100)}"
     # a pair is met in the first of its common keys
     near += " AND array_min(array_intersect(akeys, bkeys)) = key"
-    rest = left.join(right, "key").where(near).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
+    rest = left.join(right, ["key", "x", "y"]).where(near).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
     rest = durable(rest.join(star, ["a", "b"], "left_anti"), "rest")
     more = confirmed(rest)
     if not more.isEmpty():
