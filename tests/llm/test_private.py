@@ -162,3 +162,27 @@ def test_copies_of_one_text(spark):
     spans = private_spans(many.select(text_key(many).alias("key"), "text"))
     assert spans.where("base").count() == 2
     assert span_report(many).select("n_email", "n_phone", "spans").distinct().count() == 1
+
+
+def test_all_vectors_are_learned_from(spark):
+    """More distinct vectors than the 20,000 that were taken before: trees and thresholds are those of all of them."""
+    draw = np.random.default_rng(6)
+    x = np.unique(draw.integers(0, 9, (24_000, len(private.FEATURES))), axis=0)
+    half, chance = draw.integers(0, 2, len(x)), np.where((x[:, 0] > 4) ^ (x[:, 3] > 6), np.where(x[:, 1] > 5, 0.8, 0.999), 0.02)
+    right = (draw.random(len(x)) < chance) * draw.integers(1, 4, len(x))
+    wrong = np.where(right, 0, draw.integers(1, 4, len(x)))
+    kinds = [["ip", "card"][i] for i in x[:, 7] % 2]
+    rows = [(k, int(h), *map(int, v), int(a), int(b)) for k, h, v, a, b in zip(kinds, half, x, right, wrong, strict=True)]
+    schema = ", ".join(["kind string", "half int", *(f"{c} int" for c in private.FEATURES), "right long", "wrong long"])
+    models = private.learned(spark.createDataFrame(rows, schema).repartition(3), 20_000)
+    for kind in ("ip", "card"):
+        own = np.array(kinds) == kind
+        grow, check = own & (half == 0), own & (half == 1)
+        trees = boost(x[grow], right[grow].astype(float), wrong[grow].astype(float))
+        score = private.RATE * sum(value_of(t, x[check]) for t in trees)
+        got = private.RATE * sum(value_of(t, x[check]) for t in models[kind][0])
+        assert len(trees) == len(models[kind][0])
+        np.testing.assert_allclose(got, score, atol=1e-6)
+        want = threshold(np.round(score, 9), right[check].astype(float), wrong[check].astype(float))
+        assert abs(models[kind][1] - want) < 1e-6 and 0 < want < float("inf")
+    assert models["email"] == models["phone"] == ([0.0], float("inf"))

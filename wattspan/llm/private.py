@@ -6,7 +6,7 @@ longer match and what is written in disguise (``name (at) host``, ``10[.]1[.]2[.
 
 Every proposal has features of format and context, each a small integer (``FEATURES``). The trees learn from base spans,
 which the proposals equal, from the same spans in disguise, and from the proposals that no base span of their kind touches. Equal
-feature vectors are one row with counts, so all texts are learned from and the driver sees at most ``vectors`` of them.
+feature vectors are one row with counts, and all of them are learned from: at the driver while they are few, else from sums by feature and value.
 Half of the texts grow the trees, the other half sets each kind's threshold: the least score from which
 on the share of right proposals is at least ``PRECISION``.
 
@@ -28,6 +28,8 @@ KINDS = ["email", "ip", "card", "phone"]
 PRECISION, ROUNDS, DEPTH, RATE = 0.99, 16, 3, 0.4
 #: a split has to gain so much and leave so much weight on either side: single unlabelled spans make no leaf
 LEAST_GAIN, LEAST_WEIGHT = 1.0, 1.0
+#: gradients and weights are summed in whole parts of this size
+UNITS = 1 << 30
 
 AT = r"(?:@|\x20?[(\[{]\x20?(?i:at)\x20?[)\]}]\x20?|\x20(?i:at)\x20)"
 DOT = r"(?:\.|\x20?[(\[{]\x20?(?:\.|(?i:dot))\x20?[)\]}]\x20?|\x20(?i:dot)\x20)"
@@ -218,26 +220,31 @@ def vectors_of(spans: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "half", *FEATURES).agg(F.sum("right").alias("right"), F.sum(1 - F.col("right")).alias("wrong"))
 
 
-def _grown(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray, depth: int):
-    """A regression tree by Newton gains: a number, or (feature, cut, tree of values up to it, tree of those beyond)."""
-    total_g, total_w = gradient.sum(), weight.sum()
-    leaf = float(total_g / (total_w + 1.0))
-    if depth == 0 or len(x) < 2:
-        return leaf
+def _split(sums: list[tuple[np.ndarray, np.ndarray]]):
+    """The best split of a node by Newton gains, of each feature's sums of gradient and weight by value: (feature, cut,
+    sums up to it), or None. Of equal gains the first; rounding makes none larger."""
+    total_g, total_w = (x.sum() for x in sums[0])
     best, at = LEAST_GAIN, None
-    for f in range(x.shape[1]):
-        values = x[:, f]
-        top = int(values.max()) + 1
-        g = np.cumsum(np.bincount(values, gradient, top))[:-1]
-        w = np.cumsum(np.bincount(values, weight, top))[:-1]
+    for f, (g, w) in enumerate(sums):
+        g, w = np.cumsum(g)[:-1], np.cumsum(w)[:-1]
         gains = g**2 / (w + 1) + (total_g - g) ** 2 / (total_w - w + 1) - total_g**2 / (total_w + 1)
         gains[np.minimum(w, total_w - w) < LEAST_WEIGHT] = 0.0
-        if len(gains) and gains.max() > best:
-            best, at = gains.max(), (f, int(gains.argmax()))
+        if len(gains) and gains.max() > best * (1 + 1e-9):
+            cut = int(np.flatnonzero(gains >= gains.max() * (1 - 1e-9))[0])
+            best, at = gains.max(), (f, cut, (g[cut], w[cut]))
+    return at
+
+
+def _grown(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray, depth: int):
+    """A regression tree: a number, or (feature, cut, tree of values up to it, tree of those beyond)."""
+    leaf = float(gradient.sum() / (weight.sum() + 1.0))
+    if depth == 0 or len(x) < 2:
+        return leaf
+    at = _split([(np.bincount(x[:, f], gradient), np.bincount(x[:, f], weight)) for f in range(x.shape[1])])
     if at is None:
         return leaf
     low = x[:, at[0]] <= at[1]
-    return (*at, _grown(x[low], gradient[low], weight[low], depth - 1), _grown(x[~low], gradient[~low], weight[~low], depth - 1))
+    return (*at[:2], _grown(x[low], gradient[low], weight[low], depth - 1), _grown(x[~low], gradient[~low], weight[~low], depth - 1))
 
 
 def value_of(tree, x: np.ndarray) -> np.ndarray:
@@ -272,9 +279,81 @@ def threshold(score: np.ndarray, right: np.ndarray, wrong: np.ndarray) -> float:
     return float(max(0.0, (held[fine[-1]] + below) / 2))
 
 
+def _of_kind(columns: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(F.col("kind") == kind, c) for kind, c in columns.items()], F.lit(0.0))
+
+
+def _next_trees(rows: DataFrame) -> dict:
+    """A tree of each kind, like :func:`_grown`, from ``rows`` (kind, features, gradient, weight, the last two in whole ``UNITS``):
+    a level at a time, from the sums by value of each feature of each node."""
+    tree: dict = {}  # (kind, node) -> (feature, cut) or a number
+
+    def below(kind: str, node: int) -> Column:
+        if isinstance(at := tree.get((kind, node)), tuple):
+            return F.when(F.col(FEATURES[at[0]]) <= at[1], below(kind, 2 * node + 1)).otherwise(below(kind, 2 * node + 2))
+        return F.lit(float(node))
+
+    ended: set = set()
+    for level in range(DEPTH):
+        node = _of_kind({kind: below(kind, 0) for kind in KINDS}).cast("int").alias("node")
+        values = F.posexplode(F.array(*FEATURES)).alias("f", "value")
+        total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
+        found = rows.select("kind", node, "gradient", "weight", values).where(F.col("node") >= 2**level - 1)
+        nodes: dict = {}
+        # a row per value of a feature of a node
+        for r in found.groupBy("kind", "node", "f", "value").agg(F.count("*").alias("n"), total("gradient"), total("weight")).collect():
+            nodes.setdefault((r.kind, r.node), {}).setdefault(r.f, {})[r.value] = r.n, int(r.gradient), int(r.weight)
+        for (kind, node), by_feature in nodes.items():
+            if (kind, node) in ended:
+                continue
+            sums = []
+            for f in range(len(FEATURES)):
+                g, w = np.zeros((2, max(by_feature[f]) + 1))
+                for value, (_, a, b) in by_feature[f].items():
+                    g[value], w[value] = a / UNITS, b / UNITS
+                sums.append((g, w))
+            (g, w), n = (x.sum() for x in sums[0]), sum(x[0] for x in by_feature[0].values())
+            at = _split(sums) if n > 1 else None
+            if at is None:
+                tree[kind, node] = float(g / (w + 1.0))
+                ended.add((kind, node))
+                continue
+            tree[kind, node] = at[:2]
+            for child, (a, b) in ((2 * node + 1, at[2]), (2 * node + 2, (g - at[2][0], w - at[2][1]))):
+                tree[kind, child] = float(a / (b + 1.0))
+
+    def whole(kind: str, node: int):
+        at = tree.get((kind, node), 0.0)
+        return (*at, whole(kind, 2 * node + 1), whole(kind, 2 * node + 2)) if isinstance(at, tuple) else at
+
+    return {kind: whole(kind, 0) for kind in KINDS}
+
+
+def _thresholds(rows: DataFrame) -> dict[str, float]:
+    """:func:`threshold` of each kind over ``rows`` (kind, score, right, wrong): running sums within cells of scores, after
+    those of all higher cells."""
+    cell = F.floor(F.col("score") * 64).alias("cell")
+    sums = [F.sum("right").alias("right"), F.sum(F.col("right") + F.col("wrong")).alias("all")]
+    rows = durable(rows.groupBy("kind", cell, "score").agg(*sums), "scores")
+    down = Window.partitionBy("kind").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    higher = rows.groupBy("kind", "cell").agg(F.sum("right").alias("right"), F.sum("all").alias("all"))
+    higher = higher.select("kind", "cell", *[F.coalesce(F.sum(c).over(down), F.lit(0)).alias(f"{c}_higher") for c in ("right", "all")])
+    inside = Window.partitionBy("kind", "cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    good, all_ = (F.sum(c).over(inside) + F.col(f"{c}_higher") for c in ("right", "all"))
+    fine = rows.join(higher, ["kind", "cell"]).select("kind", "score", good.alias("good"), all_.alias("all"))
+    fine = fine.where((F.col("good") > 0) & (F.col("good") >= F.lit(PRECISION) * F.col("all")))
+    last = fine.groupBy("kind").agg(F.min("score").alias("last"))
+    next_ = rows.join(last, "kind").groupBy("kind", "last").agg(F.max(F.when(F.col("score") < F.col("last"), F.col("score"))).alias("next"))
+    found = {r.kind: max(0.0, (r.last + (-float("inf") if r.next is None else r.next)) / 2) for r in next_.collect()}  # a row per kind
+    return {kind: found.get(kind, float("inf")) for kind in KINDS}
+
+
 def learned(vectors: DataFrame, most: int) -> dict[str, tuple[list, float]]:
-    """Trees and threshold of each kind, from at most ``most`` distinct vectors (the first by a hash)."""
-    rows = vectors.orderBy(F.xxhash64("kind", *FEATURES), "half", "kind", *FEATURES).limit(most).collect()
+    """Trees and threshold of each kind, from all vectors. Up to ``most`` of them are learned from at the driver,
+    more by :func:`_learned_by_sums`; the trees are the same."""
+    rows = vectors.limit(most + 1).collect()
+    if len(rows) > most:
+        return _learned_by_sums(vectors)
     models = {}
     for kind in KINDS:
         held = sorted(tuple(r) for r in rows if r.kind == kind)
@@ -287,6 +366,29 @@ def learned(vectors: DataFrame, most: int) -> dict[str, tuple[list, float]]:
     return models
 
 
+def _learned_by_sums(vectors: DataFrame) -> dict[str, tuple[list, float]]:
+    """Trees and thresholds whatever the number of vectors. Trees are grown from sums by feature and value, so the driver holds
+    these and no vector; gradients are summed as whole numbers, in any order alike."""
+    grows, score = F.col("half") == 0, F.col("score")
+    totals = vectors.where(grows).groupBy("kind").agg(F.sum("right").alias("right"), F.sum("wrong").alias("wrong"))
+    trees = {kind: [0.0] for kind in KINDS}
+    for r in totals.collect():  # a row per kind
+        trees[r.kind] = [float(np.log((r.right + 1.0) / (r.wrong + 1.0))) / RATE]
+    told = {r.kind for r in totals.collect()}
+    rows = vectors.withColumn("score", F.lit(RATE) * _of_kind({kind: F.lit(t[0]) for kind, t in trees.items()}))
+    p, both = 1 / (1 + F.exp(-score)), F.col("right") + F.col("wrong")
+    units = lambda c, name: F.round(c * F.lit(float(UNITS))).cast("long").alias(name)
+    for _ in range(ROUNDS if told else 0):
+        rows = durable(rows.select("kind", "half", *FEATURES, "right", "wrong", "score"), "boosted")
+        slopes = units(F.col("right") - both * p, "gradient"), units(both * p * (1 - p), "weight")
+        new = _next_trees(rows.where(grows).select("kind", *FEATURES, *slopes))
+        for kind in told:
+            trees[kind].append(new[kind])
+        rows = rows.withColumn("score", score + F.lit(RATE) * _of_kind({kind: _tree_column(new[kind]) for kind in told}))
+    least = _thresholds(rows.where(~grows).withColumn("score", F.round("score", 9)))
+    return {kind: (trees[kind], least[kind]) for kind in KINDS}
+
+
 def _tree_column(tree) -> Column:
     if not isinstance(tree, tuple):
         return F.lit(float(tree))
@@ -324,10 +426,11 @@ def private_spans(docs: DataFrame, vectors: int = 20_000, seen: Callable | None
     """(key, kind, start, end, base, score) of the personal data in the texts of ``docs`` (key, text): all base spans
     (score null) and the proposals that the trees select. Code points, end exclusive. Null and empty texts have none, rows of
     one key count once, an empty table gives an empty result; without base spans of a kind nothing is added
-    to it. ``vectors`` bounds the distinct feature vectors that are learned from; ``seen`` is called with the models.
+    to it. Up to ``vectors`` distinct feature vectors are learned from at the driver, more by
+    distributed sums; ``seen`` is called with the models.
     """
     spans = durable(spans_of(matches(docs)), "spans")
-    models = learned(vectors_of(spans), vectors)
+    models = learned(durable(vectors_of(spans), "vectors"), vectors)
     if seen:
         seen(models)
     added = scored(spans, models, KINDS[0])
