@@ -3,6 +3,8 @@ import random
 import cases
 import pytest
 
+from wattspan.durable import durable
+from wattspan.llm import neardup
 from wattspan.llm.components import connected_components
 from wattspan.llm.neardup import SYMBOLS, bit_threshold, chunk_count, near_duplicates
 
@@ -77,3 +79,25 @@ def test_parameters_follow_from_the_similarity():
     kept = 0.85**SYMBOLS + SYMBOLS * 0.15 * 0.85 ** (SYMBOLS - 1)
     assert (1 - kept) ** chunk_count(0.85) <= 1e-6 < (1 - kept) ** (chunk_count(0.85) - 1)
     assert bit_threshold(1.0) == 0
+
+
+def test_near_copies_that_are_no_links_do_not_meet_as_rows(spark, monkeypatch):
+    """Copies of one text, each changed in its own places: alike enough for a common key, few of them linked."""
+
+    def largest(copies):
+        draw, words, written = random.Random(5), cases.prose(300, 60).split(), {}
+        rows = [(i, " ".join(w if draw.random() > 0.02 else f"c{i}x{j}" for j, w in enumerate(words))) for i in range(copies)]
+
+        def counted(df, label="table"):
+            table = durable(df, label)
+            written[label] = max(written.get(label, 0), table.count())
+            return table
+
+        monkeypatch.setattr(neardup, "durable", counted)
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80).collect()
+        assert {tuple(r) for r in got} == brute(rows, 5, 80)
+        return written
+
+    one, two = largest(60), largest(180)
+    # three times the copies: about three times the rows of every table, not nine times
+    assert {k: (one[k], n) for k, n in two.items() if n > 5 * one[k] + 50} == {}

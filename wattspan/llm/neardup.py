@@ -12,7 +12,9 @@ joined. Of a key's classes each is first compared with the smallest one; after t
 components of these links are known, only pairs of classes of one key that lie in
 different components are left. Their members get a longer signature of one bit per hash
 function, and all pairs within its distance threshold are compared as well; a linked
-pair lies beyond it with a probability of less than one in a million.
+pair lies beyond it with a probability of less than one in a million. These pairs are looked at and
+confirmed inside the tasks, a key's classes in blocks: a task is sent classes and sends links,
+of each block pair no more than join its components, never its pairs.
 """
 
 import math
@@ -29,6 +31,10 @@ from wattspan.llm.textarrays import longs_as_text, mix, parts, to_bytes, windows
 SYMBOLS, ERRORS = 5, 1
 #: 64-bit numbers of a long signature, and how many standard deviations are allowed for
 LONGS, DEVIATIONS = 32, 5.0
+#: numbers of a long signature that are compared first, and pairs that a task looks at at once
+HEAD, PAIRS = 12, 1 << 16
+#: shingles that the sets of a block hold on average
+SHINGLES = 1 << 21
 
 
 def chunk_count(similarity: float, miss: float = 1e-6) -> int:
@@ -94,20 +100,26 @@ def _signatures(key: str, text: str, width: int, symbols: int):
     return run
 
 
-def _keys(chunks: int):
-    """A key for each chunk and each left-out symbol."""
+def _key_table(signatures, chunks: int) -> np.ndarray:
+    """The keys of each signature, one for each chunk and each left-out symbol."""
+    sig = np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, chunks, SYMBOLS).astype(np.uint64)
+    keys = np.empty((len(sig), chunks * SYMBOLS), np.int64)
+    for chunk in range(chunks):
+        for left in range(SYMBOLS):
+            rest = [i for i in range(SYMBOLS) if i != left]
+            value = sum(sig[:, chunk, s] << np.uint64(16 * i) for i, s in enumerate(rest))
+            at = chunk * SYMBOLS + left
+            keys[:, at] = mix(mix(value, 50) + np.uint64(at), 51).astype(np.int64)
+    return keys
+
 
+def _keys(chunks: int):
     def run(batches):
         for rows in batches:
             if not len(rows):
                 continue
-            sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), chunks, SYMBOLS).astype(np.uint64)
-            for chunk in range(chunks):
-                for left in range(SYMBOLS):
-                    rest = [i for i in range(SYMBOLS) if i != left]
-                    value = sum(sig[:, chunk, s] << np.uint64(16 * i) for i, s in enumerate(rest))
-                    keys = mix(mix(value, 50) + np.uint64(chunk * SYMBOLS + left), 51).astype(np.int64)
-                    yield pd.DataFrame({"key": keys, "id": rows["id"].to_numpy(), "n": rows["n"].to_numpy()})
+            for keys in _key_table(rows["signature"], chunks).T:
+                yield pd.DataFrame({"key": keys, "id": rows["id"].to_numpy(), "n": rows["n"].to_numpy()})
 
     return run
 
@@ -128,8 +140,8 @@ def _bits(batches):
             for i in range(64 * LONGS):
                 factor = mix(np.array([i], np.uint64), 31)[0] | np.uint64(1)
                 out[:, i] = mix(np.minimum.reduceat(values * factor, at), 41) & np.uint64(1)
-            packed = np.packbits(out, axis=1).view("<i8")
-            yield pd.DataFrame({"id": rows["id"].iloc[a:b].to_numpy()} | {f"s{i}": packed[:, i] for i in range(LONGS)})
+            known = rows[["id", "name"]].iloc[a:b].reset_index(drop=True)
+            yield known.assign(bits=[x.tobytes() for x in np.packbits(out, axis=1)])
 
 
 def _sets(text: str, width: int):
@@ -139,7 +151,7 @@ def _sets(text: str, width: int):
             for a, b in parts(texts):
                 values, first = shingle_sets(texts[a:b], width)
                 held = [values[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
-                yield pd.DataFrame({"id": rows["id"].iloc[a:b].to_numpy(), "items": held})
+                yield pd.DataFrame({"id": rows["id"].iloc[a:b].to_numpy(), "name": rows["name"].iloc[a:b].to_numpy(), "items": held})
 
     return run
 
@@ -157,6 +169,96 @@ def _confirm(percent: int):
     return run
 
 
+def _block_pairs(batches):
+    """Of rows sorted by key, x and y those of one block pair after the other."""
+    held, last = [], None
+    for rows in batches:
+        if not len(rows):
+            continue
+        at = rows[["key", "x", "y"]].to_numpy()
+        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(1)])
+        for a, b in zip(first, np.r_[first[1:], len(at)], strict=True):
+            # the last one of a batch may go on in the next
+            if held and tuple(at[a]) != last:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(rows.iloc[a:b])
+            last = tuple(at[a])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _open_pairs(rows: pd.DataFrame, chunks: int, percent: int):
+    """Places i, j in the rows of a block pair, i ascending: classes of different components within the distance of long
+    signatures, each pair under the first of its common keys."""
+    key, x, y, lead, lead_n = rows[["key", "x", "y", "lead", "lead_n"]].iloc[0].tolist()
+    ids, n, component, own = (rows[c].to_numpy() for c in ("id", "n", "component", "own"))
+    if (component == component[0]).all():
+        return
+    bits = np.frombuffer(b"".join(rows["bits"]), "<u8").reshape(-1, LONGS)
+    keys, most = _key_table(rows["signature"], chunks), bit_threshold(percent / 100)
+    # all pairs of the smallest class are stars
+    left, right = (np.flatnonzero((own == block) & ((ids != lead) | (n != lead_n))) for block in (x, y))
+    step = max(1, PAIRS // max(1, len(right)))
+    for begin in range(0, len(left), step):
+        i, j = left[begin : begin + step, None], right[None, :]
+        some = component[i] != component[j]
+        if x == y:
+            some &= ids[i] < ids[j]
+        some &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        i, j = np.nonzero(some)
+        i, j = left[begin + i], right[j]
+        apart = np.zeros(len(i), np.int64)
+        for part in (slice(0, HEAD), slice(HEAD, LONGS)):
+            apart += np.bitwise_count(bits[i, part] ^ bits[j, part]).sum(1, dtype=np.int64)
+            i, j, apart = (v[apart <= most] for v in (i, j, apart))
+        common = keys[i] == keys[j]
+        here = keys[i, common.argmax(1)] == key
+        if here.any():
+            yield i[here], j[here]
+
+
+def _to_confirm(chunks: int, percent: int):
+    """The rows of each block pair that are in one of its open pairs."""
+
+    def run(batches):
+        for rows in _block_pairs(batches):
+            wanted = np.zeros(len(rows), bool)
+            for i, j in _open_pairs(rows, chunks, percent):
+                wanted[i] = wanted[j] = True
+            if wanted.any():
+                yield rows[wanted]
+
+    return run
+
+
+def _joining(chunks: int, percent: int):
+    """Links among the open pairs of each block pair, confirmed on whole sets: as many as join the components that have one."""
+
+    def run(batches):
+        for rows in _block_pairs(batches):
+            ids, part, links = rows["id"].to_numpy(), rows["component"].to_numpy().copy(), []
+            sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+            size = np.array([len(x) for x in sets])
+            values, number = np.unique(np.concatenate(sets), return_inverse=True)
+            sets, held = np.split(number, np.cumsum(size)[:-1]), np.zeros(len(values), bool)
+            for i, j in _open_pairs(rows, chunks, percent):
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                for a, others in zip(i[first], np.split(j, first[1:]), strict=True):
+                    others = others[part[others] != part[a]]
+                    held[sets[a]] = True
+                    common = np.array([np.count_nonzero(held[sets[b]]) for b in others], np.int64)
+                    held[sets[a]] = False
+                    for b in others[100 * common >= percent * (size[a] + size[others] - common)]:
+                        if part[a] != part[b]:
+                            part[part == part[b]] = part[a]
+                            links.append((ids[a], ids[b]))
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 2000
 ) -> DataFrame:
@@ -193,11 +295,11 @@ def near_duplicates(
     # whole sets of the classes that share a key with another; texts are dealt out this once.
     # Rows of one key with other texts are left to the class that stands for them.
     wanted = met.select("id").distinct().join(classes.select("id", "name"), "id")
-    wanted = wanted.join(some.select(F.col(key).alias("id"), "name", "h"), ["id", "name"]).select("id", "h").distinct()
+    wanted = wanted.join(some.select(F.col(key).alias("id"), "name", "h"), ["id", "name"]).groupBy("id", "name").agg(F.min("h").alias("h"))
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), text)
     # once per text, where the join has put its rows; later joins read a plain table, whose hot keys can be split
     texts = texts.join(wanted, ["id", "h"]).dropDuplicates(["id", "h"])
-    sets = durable(texts.mapInPandas(_sets(text, width), "id long, items binary"), "sets")
+    sets = durable(texts.mapInPandas(_sets(text, width), "id long, name binary, items binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("right")), "b")
@@ -209,28 +311,25 @@ def near_duplicates(
     # what the stars leave open: classes of one key in different components
     held = met.join(parts_, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     held = durable(held, "held")
-    ends = [F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("held")]
-    # the classes of a key meet in blocks, so that a key of many is the work of many tasks
-    blocks = F.ceil(F.col("held") / block).cast("int").alias("blocks")
-    open_ = held.groupBy("key").agg(*ends).where("x <> y").select("key", blocks)
+    ends = [F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("id", "n")).alias("f")]
+    # the classes of a key meet in blocks, so that a key of many is the work of many tasks, and large sets fill smaller blocks
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / SHINGLES)).cast("int").alias("blocks")
+    open_ = held.groupBy("key").agg(*ends, blocks).where("x <> y").select("key", F.col("f.id").alias("lead"), F.col("f.n").alias("lead_n"), "blocks")
     held = durable(held.join(open_, "key"), "open")
-    # a class has as many keys as there are (chunk, symbol) pairs at most
-    lists = held.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    bits = sets.join(held.select("id").distinct(), "id", "left_semi")
-    bits = bits.mapInPandas(_bits, ", ".join(["id long", *(f"s{i} long" for i in range(LONGS))]))
-    bits = durable(bits.dropDuplicates(["id"]), "bits")
-    held = held.join(lists, "id").join(bits, "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    names = ["id", "n", "component", "keys", *(f"s{i}" for i in range(LONGS))]
-    left = held.select("key", F.col("own").alias("x"), F.explode(others).alias("y"), *(F.col(c).alias("a" + c) for c in names))
-    right = held.select("key", F.explode(others).alias("x"), F.col("own").alias("y"), *(F.col(c).alias("b" + c) for c in names))
-    apart = " + ".join(f"bit_count(as{i} ^ bs{i})" for i in range(LONGS))
-    near = f"aid < bid AND acomponent <> bcomponent AND {like.replace('na', 'an').replace('nb', 'bn')} AND {apart} <= {bit_threshold(percent / 100)}"
-    # a pair is met in the first of its common keys
-    near += " AND array_min(array_intersect(akeys, bkeys)) = key"
-    rest = left.join(right, ["key", "x", "y"]).where(near).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
-    rest = durable(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    more = confirmed(rest)
+    bits = sets.join(held.select("id").distinct(), "id", "left_semi").mapInPandas(_bits, "id long, name binary, bits binary")
+    # several classes may have one id, where keys repeat
+    known = durable(bits.join(classes.drop("id"), "name"), "bits")
+    held = held.drop("n").join(known, "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ends = [F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")]
+    held = held.select("key", *ends, "own", "lead", "lead_n", "id", "name", "n", "component", "signature", "bits")
+
+    def by_block_pair(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    rest = durable(by_block_pair(held).mapInPandas(_to_confirm(chunks, percent), held.schema), "rest")
+    more = by_block_pair(rest.join(sets, ["id", "name"])).mapInPandas(_joining(chunks, percent), "a long, b long")
+    more = durable(more, "links")
     if not more.isEmpty():
         # stars again over the first components: their nodes and the new links
         stars = parts_.select(F.col("id").alias("a"), F.col("component").alias("b"))
