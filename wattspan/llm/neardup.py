@@ -103,14 +103,13 @@ def _signatures(key: str, text: str, width: int, symbols: int):
 def _key_table(signatures, chunks: int) -> np.ndarray:
     """The keys of each signature, one for each chunk and each left-out symbol."""
     sig = np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, chunks, SYMBOLS).astype(np.uint64)
-    keys = np.empty((len(sig), chunks * SYMBOLS), np.int64)
-    for chunk in range(chunks):
-        for left in range(SYMBOLS):
-            rest = [i for i in range(SYMBOLS) if i != left]
-            value = sum(sig[:, chunk, s] << np.uint64(16 * i) for i, s in enumerate(rest))
-            at = chunk * SYMBOLS + left
-            keys[:, at] = mix(mix(value, 50) + np.uint64(at), 51).astype(np.int64)
-    return keys
+    keys = np.empty((len(sig), chunks, SYMBOLS), np.int64)
+    for left in range(SYMBOLS):
+        rest = [i for i in range(SYMBOLS) if i != left]
+        value = sum(sig[:, :, s] << np.uint64(16 * i) for i, s in enumerate(rest))
+        at = np.arange(chunks, dtype=np.uint64) * np.uint64(SYMBOLS) + np.uint64(left)
+        keys[:, :, left] = mix(mix(value, 50) + at, 51).astype(np.int64)
+    return keys.reshape(len(sig), chunks * SYMBOLS)
 
 
 def _keys(chunks: int):
@@ -196,7 +195,7 @@ def _open_pairs(rows: pd.DataFrame, chunks: int, percent: int):
     if (component == component[0]).all():
         return
     bits = np.frombuffer(b"".join(rows["bits"]), "<u8").reshape(-1, LONGS)
-    keys, most = _key_table(rows["signature"], chunks), bit_threshold(percent / 100)
+    keys, most = None, bit_threshold(percent / 100)
     # all pairs of the smallest class are stars
     left, right = (np.flatnonzero((own == block) & ((ids != lead) | (n != lead_n))) for block in (x, y))
     step = max(1, PAIRS // max(1, len(right)))
@@ -212,6 +211,9 @@ def _open_pairs(rows: pd.DataFrame, chunks: int, percent: int):
         for part in (slice(0, HEAD), slice(HEAD, LONGS)):
             apart += np.bitwise_count(bits[i, part] ^ bits[j, part]).sum(1, dtype=np.int64)
             i, j, apart = (v[apart <= most] for v in (i, j, apart))
+        if not len(i):
+            continue
+        keys = _key_table(rows["signature"], chunks) if keys is None else keys
         common = keys[i] == keys[j]
         here = keys[i, common.argmax(1)] == key
         if here.any():
