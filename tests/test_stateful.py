@@ -117,3 +117,31 @@ def test_idle_sites_are_forgotten_on_the_clock(spark, made, tmp_path):
         time.sleep(0.5)
     query.stop()
     assert seen == ["new", "new"]  # the site came back as a new one: no tail, nothing late
+
+
+def test_rows_of_one_site_are_dealt_out(spark, made, tmp_path):
+    """No key gets all rows of a site; look-backs and late rows are those of one pass over the site."""
+    rows, detector = made
+    spark.conf.set(FRAME, 500)
+    for low, high in ((0, 2500), (2400, 4320)):  # the second arrival has a hundred late rows
+        part = rows.where((F.col("id") >= low) & (F.col("id") < high))
+        part.orderBy(F.rand(2)).repartition(3).write.mode("append").parquet(str(tmp_path / f"in-{low}"))
+    seen, tails = [], []
+
+    def note(batch, number):
+        held = batch.withColumn("task", F.spark_partition_id()).cache()
+        told = stateful.with_late(held.drop("task"))
+        seen.append({r["state"]: r["count"] for r in told.groupBy("state").count().collect()})
+        tails.append({r["no"] for r in held.where("state = 'tail'").collect()})
+        by_task = [r["count"] for r in held.where("state = 'new'").groupBy("task").count().collect()]
+        assert len(by_task) > 4 and max(by_task) < 0.5 * sum(by_task)
+
+    for low in (0, 2400):
+        source = str(tmp_path / "in")
+        spark.read.parquet(str(tmp_path / f"in-{low}")).write.mode("append").parquet(source)
+        stream = stateful.handed_on(live.read_reading_stream(spark, source))
+        with stateful.rocks_state(spark):
+            live._start(stream.writeStream.foreachBatch(note), str(tmp_path / "progress"), None).awaitTermination()
+    spark.conf.unset(FRAME)
+    assert seen == [{"new": 2500}, {"tail": 1439, "new": 1821, "late": 99}]
+    assert tails == [set(), set(range(2500 - 1439, 2500))]
