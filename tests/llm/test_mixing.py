@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wattspan.llm.mixing import BLOCK, FIRST, Code, Mixer, _score, _sum, _tally, decisions, find_classes, mixing_scores, vectors
+from wattspan.llm.mixing import BLOCK, FIRST, PRIOR, Code, Evidence, Mixer, _learned, _score, _sum, _tally, _train, decisions, find_classes, mixing_scores, vectors
 from wattspan.llm.textarrays import Words
 
 
@@ -108,3 +108,44 @@ def test_classes_come_from_all_training_texts(spark):
         start /= np.sqrt((start**2).sum(1, keepdims=True))
     assert np.allclose(got, start, atol=1e-5)
     assert np.allclose(find_classes(table.repartition(7), "text", 0.1), got, atol=1e-12)
+
+
+def test_log_odds_are_worked_out_per_slot_not_per_decision(monkeypatch):
+    class Table:
+        value = np.random.default_rng(3).integers(0, 50, (FIRST[-1], 2)).astype(np.float32)
+
+    code, start = Code(np.zeros(256, np.int64)), Mixer()
+
+    def met(count: int) -> int:
+        words = b"".join(b"w%d " % i for i in range(count))
+        one = np.ones(count, "<i8").tobytes()
+        row = {"bucket": 0, "words": words, "classes": bytes(count), "whole": one, "counts": one, "chunks": [0], "places": [np.zeros(1, "<u4").tobytes()]}
+        seen, log = [], np.log
+        with monkeypatch.context() as patch:
+            patch.setattr(np, "log", lambda x, *more: seen.append(np.size(x)) or log(x, *more))
+            list(_score(code, Table, start.weights, start.map)(iter([pd.DataFrame([row])])))
+            list(_train(code, Table)(iter([pd.DataFrame([row])])))
+        return sum(seen)
+
+    assert met(10) == met(5000)
+
+
+def test_evidence_leaves_a_word_out_of_the_counts_that_predict_it():
+    draw = np.random.default_rng(2)
+    counts = draw.integers(0, 600, (FIRST[-1], 2)).astype(np.float32)
+    slots = np.stack([draw.integers(a, b, 500) for a, b in zip(FIRST, FIRST[1:])])
+    bit, node = draw.integers(0, 2, 500), draw.integers(0, 255, 500)
+    for left_out in (False, True):
+        zeros, ones = counts[slots, 0].astype(float), counts[slots, 1].astype(float)
+        if left_out:
+            zeros, ones = np.maximum(zeros - (1 - bit), 0), np.maximum(ones - bit, 0)
+        inputs, gate = Evidence(counts, left_out).met(slots, bit)
+        assert np.allclose(inputs[:-1], np.log((ones + PRIOR) / (zeros + PRIOR)), atol=1e-5)
+        p, own = Mixer().predict(zeros, ones, node)
+        assert (own == gate).all() and np.allclose(Mixer().corrected(inputs, gate, node), p, atol=1e-6)
+
+
+def test_words_not_learned_from_are_left_out():
+    words, used = _learned(b"ab c de ", np.array([1, 0, 5, 9]))
+    assert words == b"ab de " and used.tolist() == [0, 2]
+    assert _learned(b"ab c ", np.zeros(2))[0] == b""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattspan.llm.mixing import mixing_scores
-from wattspan.llm.running import BLOCK, CONSTANT, GATES, LEVELS, ORDERS, OWN, PRIOR, RATE, running_scores
+from wattspan.llm.running import BLOCK, CONSTANT, GATES, LEVELS, ORDERS, OWN, PRIOR, RATE, histories, running_scores
 
 
 def plain(spelled, share, corpus, words):
@@ -107,3 +107,26 @@ def test_scores_hang_on_no_slice_of_the_table(docs):
     big, small = (sorted((str(r.doc_id), r.n_tokens, r.score) for r in mixing_scores(table, "train", chunk_bytes=n).collect()) for n in (8 << 20, 2000))
     assert [r[:2] for r in big] == [r[:2] for r in small]
     assert [r[2] for r in big] == pytest.approx([r[2] for r in small], rel=1e-4)
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 57])
+def test_histories_equal_brute_force_and_order_no_positions_by_hashes(scale, monkeypatch):
+    draw = np.random.default_rng(5)
+    texts = [list(draw.integers(0, 4, n)) for n in (40, 1, 2, 0, 3, 25, 25)]
+    texts.append(list(texts[0]))
+    first = np.cumsum([0, *map(len, texts)])
+    words = np.concatenate(texts).astype(np.int64) * scale
+    expected = np.zeros((ORDERS, 3, len(words)))
+    for t, text in enumerate(texts):
+        for i in range(len(text)):
+            for k in range(ORDERS):
+                # a context at the start of a text is shorter than others
+                after = [j for j in range(i) if k == 0 or (i >= k and j >= k and text[j - k : j] == text[i - k : i])]
+                expected[k, :, first[t] + i] = len(after), sum(text[j] == text[i] for j in after), len({text[j] for j in after})
+    sorted_ = []
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *more, **named: sorted_.append(len(x)) or argsort(x, *more, **named))
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    assert (histories(words, text, first[:-1]) == expected).all()
+    assert not sorted_
+    assert histories(words[:0], text[:0], first[:0]).shape == (ORDERS, 3, 0)
