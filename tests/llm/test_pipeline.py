@@ -48,6 +48,22 @@ def test_no_clean_row_is_lost(spark, tmp_path, word_bpe):
         assert {(k, t) for k, t, *_ in rows[:5]} <= left, name
 
 
+def test_texts_get_the_language_of_their_words(spark, tmp_path):
+    """Texts without a given language, and one with a wrong one, whose right one must not be lost."""
+    french = "que les eau tion ment ais oi"
+    rows = [(i, cases.prose(60, 800 + i), "en", "s", None) for i in range(30)]
+    rows += [(100 + i, cases.prose(60, 900 + i, french), "fr", "s", None) for i in range(30)]
+    rows += [(None, cases.prose(60, 990, french), None, "s", None), (201, cases.prose(60, 991), None, "s", None)]
+    rows += [(202, cases.prose(60, 992, french), "en", "s", None), (203, "12 34", "en", "s", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.language_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert len(got) == len(rows) - 1
+    lang = {r.text: r.lang for r in got}
+    wanted = {None: "fr", 201: "en", 202: "fr"}
+    assert all(lang[t] == wanted.get(k, given) for k, t, given, *_ in rows if k != 203)
+
+
 def test_the_whole_run_packs_what_is_left(spark, tmp_path, word_bpe):
     tables(spark, tmp_path)
     got = corpus_pipeline.run(spark, str(tmp_path))
