@@ -1,6 +1,8 @@
 """What the exact and the hashed search carry, and their results on odd rows."""
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from wattspan.models import neighbours
 
@@ -54,3 +56,19 @@ def test_blocks_ties_repeated_and_null_ids(spark):
     for block in (9, 65_536):
         got = neighbours.nearest_rows(df, df, 7, True, pivots=70, block_rows=block).collect()
         assert sorted(((r["query"], r["neighbour"], r["distance"]) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("far, near", [(0.0, 1.0), (1e4, 1e-3), (1e12, 1.0)])
+def test_products_lose_no_neighbour(far, near):
+    """Points far from the origin and near each other, and one that is much farther away."""
+    draw = np.random.default_rng(7)
+    x = far + near * draw.standard_normal((700, 7))
+    x[3] = 1e6 * (1 + far)
+    rows = pd.DataFrame({"id": np.arange(700), "features": list(x), "mask": None})
+    search = neighbours._Search(rows.iloc[:60], 6, True)
+    for begin in range(0, 700, 90):
+        search.meet(rows.iloc[begin : begin + 90])
+    got = search.result().groupby("query")["distance"].agg(list)
+    for i in range(60):
+        exact = np.sqrt(((np.delete(x, i, axis=0) - x[i]) ** 2).sum(1))
+        assert np.array_equal(got[i], np.sort(exact)[:6])
